@@ -13,6 +13,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +57,7 @@ class _Memo(dict):
 
 
 class ForcedBoundaryBPE:
-    def __init__(self, path: str, memo: int = 200_000):
+    def __init__(self, path: str, memo: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         back = _byte_alphabet()
@@ -71,8 +73,9 @@ class ForcedBoundaryBPE:
         for token in self.ids:
             for a, b in zip(token, token[1:]):
                 inside[a, b] = True
-        #: pairs of bytes between which a cut is certain
+        #: pairs of bytes between which a cut is certain; the same as one flag byte per pair, for short pieces
         self.forced = ~inside
+        self.flags = self.forced.tobytes()
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
         self.split_added = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
@@ -83,16 +86,39 @@ class ForcedBoundaryBPE:
         """piece cut at every forced boundary."""
         if len(piece) < 2:
             return [piece]
-        b = np.frombuffer(piece, dtype=np.uint8)
-        cuts = (np.flatnonzero(self.forced[b[:-1], b[1:]]) + 1).tolist()
+        if len(piece) < 48:
+            flags = self.flags
+            cuts = [i for i, (a, b) in enumerate(zip(piece, piece[1:]), 1) if flags[a << 8 | b]]
+            if not cuts:
+                return [piece]
+        else:
+            b = np.frombuffer(piece, dtype=np.uint8)
+            cuts = (np.flatnonzero(self.forced[b[:-1], b[1:]]) + 1).tolist()
         return [piece[i:j] for i, j in zip([0, *cuts], [*cuts, len(piece)])]
 
     def encode_piece(self, piece: bytes) -> bytes:
         ids: list[int] = []
         for fragment in self.fragments(piece):
-            whole = self.ids.get(fragment) if len(fragment) < 2 else None
-            ids += [whole] if whole is not None else self.merge(fragment)
-        return np.array(ids, dtype="<u4").tobytes()
+            ids += self.merge_short(fragment) if len(fragment) < 32 else self.merge(fragment)
+        return array("I", ids).tobytes() if array("I").itemsize == 4 and sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
+
+    def merge_short(self, fragment: bytes) -> list[int]:
+        """The same merges by looking for the lowest rank again and again; a rank that occurs twice is merged from the left."""
+        ids = [self.first[b] for b in fragment]
+        get, none = self.merges.get, (1 << 30, 0)
+        found = [get(pair, none) for pair in zip(ids, ids[1:])]
+        while found:
+            best = min(found)
+            if best is none:
+                break
+            i = found.index(best)
+            ids[i : i + 2] = [best[1]]
+            del found[i]
+            if i < len(found):
+                found[i] = get((ids[i], ids[i + 1]), none)
+            if i:
+                found[i - 1] = get((ids[i - 1], ids[i]), none)
+        return ids
 
     def merge(self, fragment: bytes) -> list[int]:
         """Lowest rank first, leftmost among equals, on a linked list with a heap."""

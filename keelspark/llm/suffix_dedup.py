@@ -41,7 +41,7 @@ SEGMENT = 1 << 19
 #: names that one sorting task gets, about
 PER_TASK = 2_000_000
 #: parts of each partition's texts; a part is a chunk
-PARTS = 8
+PARTS = 4
 
 
 def difference_cover(q: int) -> tuple[int, list[int]]:

@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from . import profile  # noqa: F401

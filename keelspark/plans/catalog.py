@@ -1,3 +1,4 @@
 """Imports every module that registers queries."""
 
 from . import profile  # noqa: F401
+from . import buckets  # noqa: F401

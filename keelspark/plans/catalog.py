@@ -7,3 +7,4 @@ from . import vectors  # noqa: F401
 from . import records  # noqa: F401
 from . import state  # noqa: F401
 from . import costs  # noqa: F401
+from . import streams  # noqa: F401

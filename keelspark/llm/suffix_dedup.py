@@ -46,7 +46,7 @@ PARTS = 4
 
 def difference_cover(q: int) -> tuple[int, list[int]]:
     """Singer's perfect difference set for a prime q: v = q*q + q + 1 and q + 1 residues whose differences are all of Z_v.
-    They are the powers of a generator of GF(q^3) that fall into a plane; v is prime or not, any such set is a cover."""
+    They are the powers of a generator of GF(q^3) that fall into a plane."""
     v = q * q + q + 1
     for c in range(1, q):
         for b in range(q):
@@ -204,7 +204,7 @@ _TEXTS = "chunk long, text string, copies long"
 
 
 def _deal(names: np.ndarray, chunk: int, buckets: int) -> dict[str, list]:
-    """names, cut by range into blocks for the sorting tasks; bucket -1 holds none."""
+    """names, cut by range into blocks for the sorting tasks."""
     high = (names >> np.uint64(32)).astype(np.int64) * buckets >> 31
     cuts = np.searchsorted(high, np.arange(buckets + 1))
     used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
@@ -212,7 +212,9 @@ def _deal(names: np.ndarray, chunk: int, buckets: int) -> dict[str, list]:
 
 
 def _sort_names(rows: pa.Table) -> pa.Table:
-    """One range of names from all chunks: a bit for each, whether an equal neighbour exists."""
+    """One range of names from all chunks: a bit for each, whether an equal neighbour exists.  Negative buckets hold no names and pass."""
+    if rows.column("bucket")[0].as_py() < 0:
+        return rows
     chunks, parts = rows.column("chunk").to_pylist(), [unpack(b) for b in rows.column("blob").to_pylist()]
     bucket = rows.column("bucket")[0].as_py()
     every = np.concatenate(parts)
@@ -279,19 +281,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = ORDER, per_ta
         out = _deal(names, chunk, prefix_buckets)
         cut = np.flatnonzero(np.diff(starts) > 1) + 1
         runs = np.stack([starts[np.append(0, cut)], starts[np.append(cut - 1, len(starts) - 1)] + 1], 1).reshape(-1) if len(starts) else starts
-        for name, value in zip(_ASK.names, (-1, chunk, len(runs), pack(runs.astype(np.uint64)))):
+        for name, value in zip(_ASK.names, (-1 - chunk, chunk, len(runs), pack(runs.astype(np.uint64)))):
             out[name] = [*out[name], value]
         return pa.Table.from_pydict(out, schema=_ASK)
 
     def cogrouped(other: DataFrame, fn, ddl: str) -> DataFrame:
         return held.groupBy("chunk").cogroup(other.groupBy("chunk")).applyInArrow(fn, ddl)
 
-    prefixes = common.staged(cogrouped(alive, ask_prefixes, _ASK_DDL), "suffix-prefixes")
+    # compare adjacent prefixes; the runs of candidates pass along, each chunk's in a group of its own
+    verdict = common.staged(cogrouped(alive, ask_prefixes, _ASK_DDL).groupBy("bucket").applyInArrow(_sort_names, _ASK_DDL), "suffix-verdict")
     common.discard(alive)
-
-    # compare adjacent prefixes
-    verdict = common.staged(prefixes.where("bucket >= 0").groupBy("bucket").applyInArrow(_sort_names, _ASK_DDL).union(prefixes.where("bucket < 0")), "suffix-verdict")
-    common.discard(prefixes)
     out_type = pa.schema([("key", pa.binary()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept_sha256", pa.string())])
 
     def settle(rows: pa.Table, told: pa.Table) -> pa.Table:

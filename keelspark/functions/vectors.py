@@ -52,3 +52,12 @@ def hamming(a: Column, b: Column) -> Column:
 
 def storage_bytes(dim: Column, quant: Column) -> Column:
     return F.when(quant == "f32", dim * 4).when(quant == "f16", dim * 2).when(quant == "int8", dim + 4).when(quant == "binary", F.ceil(dim / 8)).cast("long")
+
+
+def decoded(quant: str, codes: Column, scale: Column | None = None) -> Column:
+    """Codes back to numbers, where that is possible: sign codes keep no magnitudes."""
+    if quant == "int8":
+        return int8_decode(codes, scale)
+    if quant == "f32":
+        return codes
+    return F.raise_error(F.lit(f"{quant} codes cannot be decoded here")).cast("array<float>")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.sizes import factor
+from ..functions.sizes import dollars, factor, fmt_bytes
 from ..operators import capacity as C
 from ..sources.keyspace import keyspace
 from . import sqltext as T
@@ -37,3 +37,8 @@ def capacity_ladder(spark, d):
 @query("attributable_bytes", f"WITH {T.KEYS} SELECT type, CAST(sum(memory) AS BIGINT) AS used, CAST(sum(memory) - sum(CASE WHEN type = 'stream' THEN 24 ELSE 0 END) AS BIGINT) AS attributable FROM keys GROUP BY type")
 def attributable_bytes(spark, d):
     return keyspace(spark, d).groupBy("type").agg(F.sum("memory").alias("used"), (F.sum("memory") - F.sum(F.when(F.col("type") == "stream", 24).otherwise(0))).alias("attributable"))
+
+
+@query("capacity_labels", "SELECT component, CASE WHEN b >= 1073741824 THEN printf('%.2f GiB', b / 1073741824) WHEN b >= 1048576 THEN printf('%.1f MiB', b / 1048576) ELSE printf('%.1f KiB', b / 1024) END AS size, round(b / 1073741824 * 12.93, 2) AS usd FROM (SELECT component, records * opt_bytes AS b FROM " + _LINES + ")")
+def capacity_labels(spark, d):
+    return C.lines(spark).select("component", fmt_bytes(F.col("opt_total")).alias("size"), F.round(dollars(F.col("opt_total")), 2).alias("usd"))

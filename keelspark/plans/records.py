@@ -140,7 +140,7 @@ _RUNSRC = f"SELECT strlen({T.ORDER_JSON}) AS j, 6 AS f, strlen(CAST(o_orderkey A
 
 @query("layout_run_state", _case("run", _RUNSRC, {
     "key-per-field": f"f * {_KEYCOST('(k + 12)')} + v", "hash-hashtable": f"{_KEYCOST('k')} + f * 64 + names + v", "hash-listpack": f"{_KEYCOST('k')} + f * 2 * 4 + names + v", "hash-template": f"{_KEYCOST('k')} + f * 4 + v", "hash-short-names": f"{_KEYCOST('k')} + f * 2 * 4 + 6 + v",
-    "json-string": f"{_KEYCOST('k')} + {_VALUE('j')}", "packed-string": f"{_KEYCOST('k')} + {_VALUE('p')}", "sharded-128": f"{_KEYCOST('12')} / 128.0 + 16 + p + 2 * 4", "sharded-1024": f"{_KEYCOST('12')} / 1024.0 + 16 + p + 64", "sharded-json": f"{_KEYCOST('12')} / 128.0 + 16 + j + 2 * 4",
+    "hash-short-template": f"{_KEYCOST('k')} + f * 4 + 6 / 128.0 + v", "json-string": f"{_KEYCOST('k')} + {_VALUE('j')}", "packed-string": f"{_KEYCOST('k')} + {_VALUE('p')}", "sharded-128": f"{_KEYCOST('12')} / 128.0 + 16 + p + 2 * 4", "sharded-1024": f"{_KEYCOST('12')} / 1024.0 + 16 + p + 64", "sharded-json": f"{_KEYCOST('12')} / 128.0 + 16 + j + 2 * 4",
 }))
 def layout_run_state(spark, d):
     runs = record_pack_size(spark, d).withColumnRenamed("bytes", "p")
@@ -151,49 +151,50 @@ def layout_run_state(spark, d):
     shard = L.key_cost(12)
     return L.compare(o.join(runs, "o_orderkey"), {
         "key-per-field": L.key_cost(k + 12) * 6 + v, "hash-hashtable": L.key_cost(k) + 6 * L.HASHTABLE + 67 + v, "hash-listpack": L.key_cost(k) + 12 * L.LISTPACK + 67 + v, "hash-template": L.key_cost(k) + 6 * L.LISTPACK + v, "hash-short-names": L.key_cost(k) + 12 * L.LISTPACK + 6 + v,
-        "json-string": L.key_cost(k) + L.value_cost(j), "packed-string": L.key_cost(k) + L.value_cost(p), "sharded-128": shard / 128 + 16 + p + 2 * L.LISTPACK, "sharded-1024": shard / 1024 + 16 + p + L.HASHTABLE, "sharded-json": shard / 128 + 16 + j + 2 * L.LISTPACK,
+        "hash-short-template": L.key_cost(k) + 6 * L.LISTPACK + F.lit(6 / 128) + v, "json-string": L.key_cost(k) + L.value_cost(j), "packed-string": L.key_cost(k) + L.value_cost(p), "sharded-128": shard / 128 + 16 + p + 2 * L.LISTPACK, "sharded-1024": shard / 1024 + 16 + p + L.HASHTABLE, "sharded-json": shard / 128 + 16 + j + 2 * L.LISTPACK,
     })
 
 
 _TURNSRC = "SELECT strlen(text) AS t, strlen(role) AS r FROM conversations"
 
 
-@query("layout_transcript", _case("turns", _TURNSRC, {"json-list": "t + r + 42 + 3", "msgpack-list": "t + r + 22 + 3", "stream-fields": "t + r + 16 + 12 + 3 * 4", "packed-list": "t + 1 + 4 + 3", "chunk-16": "t + 1 + 4 + 3 / 16.0"}))
+@query("layout_transcript", _case("turns", _TURNSRC, {"json-list": "t + r + 42 + 3", "msgpack-list": "t + r + 22 + 3", "stream-fields": "t + r + 16 + 12 + 3 * 4", "stream-packed": "t + 5 + 12", "packed-list": "t + 1 + 4 + 3", "chunk-16": "t + 1 + 4 + 3 / 16.0"}))
 def layout_transcript(spark, d):
     rows = table(spark, d, "conversations").select(F.octet_length("text").alias("t"), F.octet_length("role").alias("r"))
     t, r = F.col("t"), F.col("r")
-    return L.compare(rows, {"json-list": t + r + 42 + L.LIST, "msgpack-list": t + r + 22 + L.LIST, "stream-fields": t + r + 16 + L.STREAM + 3 * L.LISTPACK, "packed-list": t + 1 + 4 + L.LIST, "chunk-16": t + 5 + F.lit(L.LIST) / 16})
+    return L.compare(rows, {"json-list": t + r + 42 + L.LIST, "msgpack-list": t + r + 22 + L.LIST, "stream-fields": t + r + 16 + L.STREAM + 3 * L.LISTPACK, "stream-packed": t + 5 + L.STREAM, "packed-list": t + 1 + 4 + L.LIST, "chunk-16": t + 5 + F.lit(L.LIST) / 16})
 
 
 _SPANSRC = "SELECT strlen(event_type) AS e, strlen(props) AS p, strlen(CAST(event_id AS VARCHAR)) AS k, rn FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)"
 
 
-@query("layout_spans", _case("spans", _SPANSRC, {"hash-per-span": f"{_KEYCOST('(k + 5)')} + e + p + 30 + 6 * 8", "json-list": "e + p + 60 + 3", "stream-fields": "e + p + 30 + 12 + 6 * 4", "stream-packed": "p + 20 + 12", "packed-list": "p + 20 + 3", "sharded-hash": "p + 20 + 16 + 8", "last-20-lossy": "CASE WHEN rn <= 20 THEN p + 20 + 12 ELSE 0 END"}))
+@query("layout_spans", _case("spans", _SPANSRC, {"hash-per-span": f"{_KEYCOST('(k + 5)')} + e + p + 30 + 6 * 8", "json-list": "e + p + 60 + 3", "stream-fields": "e + p + 30 + 12 + 6 * 4", "stream-msgpack": "e + p + 22 + 12", "stream-packed": "p + 20 + 12", "packed-list": "p + 20 + 3", "sharded-hash": "p + 20 + 16 + 8", "last-20-lossy": "CASE WHEN rn <= 20 THEN p + 20 + 12 ELSE 0 END"}))
 def layout_spans(spark, d):
     from pyspark.sql import Window
 
     rn = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
     rows = table(spark, d, "events").select(F.octet_length("event_type").alias("e"), F.octet_length("props").alias("p"), F.octet_length(F.col("event_id").cast("string")).alias("k"), rn.alias("rn"))
     e, p, k = F.col("e"), F.col("p"), F.col("k")
-    return L.compare(rows, {"hash-per-span": L.key_cost(k + 5) + e + p + 30 + 12 * L.LISTPACK, "json-list": e + p + 60 + L.LIST, "stream-fields": e + p + 30 + L.STREAM + 6 * L.LISTPACK, "stream-packed": p + 20 + L.STREAM, "packed-list": p + 20 + L.LIST, "sharded-hash": p + 20 + 16 + 2 * L.LISTPACK, "last-20-lossy": F.when(F.col("rn") <= 20, p + 20 + L.STREAM).otherwise(0)})
+    return L.compare(rows, {"hash-per-span": L.key_cost(k + 5) + e + p + 30 + 12 * L.LISTPACK, "json-list": e + p + 60 + L.LIST, "stream-fields": e + p + 30 + L.STREAM + 6 * L.LISTPACK, "stream-msgpack": e + p + 22 + L.STREAM, "stream-packed": p + 20 + L.STREAM, "packed-list": p + 20 + L.LIST, "sharded-hash": p + 20 + 16 + 2 * L.LISTPACK, "last-20-lossy": F.when(F.col("rn") <= 20, p + 20 + L.STREAM).otherwise(0)})
 
 
 _VECSRC = "SELECT len(embedding) AS n, strlen('emb:' || vec_id) AS k FROM embeddings"
 _VECS = {"json-string": 11.5, "f32": 4, "f16": 2, "int8": 1, "binary": 0.125}
 
 
-@query("layout_vectors", _case("vectors", _VECSRC, {**{v: f"{_KEYCOST('k')} + {_VALUE(f'CAST(ceil(n * {b}) + {4 if v == 'int8' else 0} AS BIGINT)')}" for v, b in _VECS.items()}, "sharded-int8": "16 + n + 4 + 8", "indexed-int8": "16 + n + 4 + 16 * 8 * 2", "indexed-f32": "16 + n * 4 + 16 * 8 * 2"}))
+@query("layout_vectors", _case("vectors", _VECSRC, {**{v: f"{_KEYCOST('k')} + {_VALUE(f'CAST(ceil(n * {b}) + {4 if v == 'int8' else 0} AS BIGINT)')}" for v, b in _VECS.items()}, "sharded-int8": "16 + n + 4 + 8", "indexed-int8": "16 + n + 4 + 16 * 8 * 2", "indexed-f32": "16 + n * 4 + 16 * 8 * 2", "indexed-binary": "16 + ceil(n / 8.0) + 16 * 8 * 2", "indexed-half-int8": "16 + n / 2 + 4 + 16 * 8 * 2", "indexed-quarter-binary": "16 + ceil(n / 32.0) + 16 * 8 * 2"}))
 def layout_vectors(spark, d):
     rows = table(spark, d, "embeddings").select(F.size("embedding").alias("n"), F.octet_length(F.concat(F.lit("emb:"), "vec_id")).alias("k"))
     n, k = F.col("n"), F.col("k")
     plain = {v: L.key_cost(k) + L.value_cost(F.ceil(n * F.lit(float(b))) + (4 if v == "int8" else 0)) for v, b in _VECS.items()}
-    return L.compare(rows, plain | {"sharded-int8": n + 16 + 4 + 2 * L.LISTPACK, "indexed-int8": n + 16 + 4 + 256, "indexed-f32": n * 4 + 16 + 256})
+    return L.compare(rows, plain | {"sharded-int8": n + 16 + 4 + 2 * L.LISTPACK, "indexed-int8": n + 16 + 4 + 256, "indexed-f32": n * 4 + 16 + 256, "indexed-binary": F.ceil(n / 8) + 16 + 256, "indexed-half-int8": n / 2 + 16 + 4 + 256, "indexed-quarter-binary": F.ceil(n / 32) + 16 + 256})
 
 
-@query("layout_dedup", _case("ids", "SELECT 36 AS n FROM orders", {"uuid-set": "n + 64", "key-per-id": f"{_KEYCOST('n')}", "int-set": "8 + 64", "sharded-intset": "8 + 16 / 244.0", "bloom-1pct": "9.5851 / 8", "bloom-01pct": "14.3776 / 8", "cuckoo": "1.6"}))
+@query("layout_dedup", _case("ids", "SELECT 36 AS n FROM orders", {"uuid-set": "n + 64", "key-per-id": f"{_KEYCOST('n')}", "int-set": "8 + 64", "sharded-intset": "8 + 16 / 244.0", "bloom-1pct": "9.5851 / 8", "bloom-01pct": "14.3776 / 8", "cuckoo": "1.6", "hyperloglog": "12304.0 / (SELECT count(*) FROM orders)"}))
 def layout_dedup(spark, d):
     n = F.lit(36)
-    return L.compare(table(spark, d, "orders").select("o_orderkey"), {"uuid-set": n + L.HASHTABLE, "key-per-id": L.key_cost(n), "int-set": F.lit(8 + L.HASHTABLE), "sharded-intset": F.lit(8 + 16 / 244), "bloom-1pct": F.lit(9.5851 / 8), "bloom-01pct": F.lit(14.3776 / 8), "cuckoo": F.lit(1.6)})
+    ids = table(spark, d, "orders").select("o_orderkey")
+    return L.compare(ids.crossJoin(F.broadcast(ids.agg(F.count("*").alias("all")))), {"uuid-set": n + L.HASHTABLE, "key-per-id": L.key_cost(n), "int-set": F.lit(8 + L.HASHTABLE), "sharded-intset": F.lit(8 + 16 / 244), "bloom-1pct": F.lit(9.5851 / 8), "bloom-01pct": F.lit(14.3776 / 8), "cuckoo": F.lit(1.6), "hyperloglog": F.lit(12304.0) / F.col("all")})
 
 
 @query("layout_cache", _case("entries", "SELECT strlen(text) AS v FROM conversations", {"key-expire": f"{_KEYCOST('36')} + {_VALUE('v')} + 24", "key": f"{_KEYCOST('36')} + {_VALUE('v')}", "sharded": "36 + v + 8", "sharded-expire": "36 + v + 8 + 8", "sharded-16b": "16 + v + 8 + 8"}))
@@ -202,33 +203,71 @@ def layout_cache(spark, d):
     return L.compare(table(spark, d, "conversations").select("text"), {"key-expire": L.key_cost(36) + L.value_cost(v) + 24, "key": L.key_cost(36) + L.value_cost(v), "sharded": v + 36 + 2 * L.LISTPACK, "sharded-expire": v + 36 + 2 * L.LISTPACK + 8, "sharded-16b": v + 16 + 2 * L.LISTPACK + 8})
 
 
-@query("layout_index", _case("memberships", "SELECT l_orderkey FROM lineitem", {"uuid-set": "36 + 64", "sorted-set": "36 + 64 + 16", "int-set": "8 + 64", "sharded-intset": "4 + 16 / 400.0", "bitmap": "0.125 / 0.6"}))
+@query("layout_index", _case("memberships", "SELECT l_orderkey FROM lineitem", {"uuid-set": "36 + 64", "sorted-set": "36 + 64 + 16", "int-set": "8 + 64", "sharded-intset": "4 + 16 / 400.0", "bitmap-2pct": "0.125 / 0.02", "bitmap-60pct": "0.125 / 0.6"}))
 def layout_index(spark, d):
-    return L.compare(table(spark, d, "lineitem").select("l_orderkey"), {"uuid-set": F.lit(36 + L.HASHTABLE), "sorted-set": F.lit(36 + L.HASHTABLE + 16), "int-set": F.lit(8 + L.HASHTABLE), "sharded-intset": F.lit(4 + 16 / 400), "bitmap": F.lit(0.125 / 0.6)})
+    return L.compare(table(spark, d, "lineitem").select("l_orderkey"), {"uuid-set": F.lit(36 + L.HASHTABLE), "sorted-set": F.lit(36 + L.HASHTABLE + 16), "int-set": F.lit(8 + L.HASHTABLE), "sharded-intset": F.lit(4 + 16 / 400), "bitmap-2pct": F.lit(0.125 / 0.02), "bitmap-60pct": F.lit(0.125 / 0.6)})
 
 
-@query("layout_queue", _case("tasks", "SELECT strlen(o_orderpriority) AS p FROM orders", {"json-list": "p + 120 + 3", "msgpack-list": "p + 80 + 3", "packed-list": "40 + 3", "stream": "p + 60 + 12 + 20", "stream-packed": "40 + 12", "stream-pending": "40 + 12 + 238", "delayed-set": "p + 120 + 64 + 16"}))
+@query("layout_queue", _case("tasks", "SELECT strlen(o_orderpriority) AS p FROM orders", {"json-list": "p + 120 + 3", "msgpack-list": "p + 80 + 3", "packed-list": "40 + 3", "stream": "p + 60 + 12 + 20", "stream-packed": "40 + 12", "stream-pending": "40 + 12 + 238", "stream-acked": "40 + 12", "delayed-set": "p + 120 + 64 + 16"}))
 def layout_queue(spark, d):
     p = F.octet_length("o_orderpriority")
-    return L.compare(table(spark, d, "orders").select("o_orderpriority"), {"json-list": p + 120 + L.LIST, "msgpack-list": p + 80 + L.LIST, "packed-list": F.lit(40 + L.LIST), "stream": p + 60 + L.STREAM + 20, "stream-packed": F.lit(40 + L.STREAM), "stream-pending": F.lit(40 + L.STREAM + 238), "delayed-set": p + 120 + L.HASHTABLE + 16})
+    return L.compare(table(spark, d, "orders").select("o_orderpriority"), {"json-list": p + 120 + L.LIST, "msgpack-list": p + 80 + L.LIST, "packed-list": F.lit(40 + L.LIST), "stream": p + 60 + L.STREAM + 20, "stream-packed": F.lit(40 + L.STREAM), "stream-pending": F.lit(40 + L.STREAM + 238), "stream-acked": F.lit(40 + L.STREAM), "delayed-set": p + 120 + L.HASHTABLE + 16})
 
 
 _DD = "SELECT CASE WHEN dd IS NULL THEN 64 WHEN dd = 0 THEN 1 WHEN abs(dd) < 64 THEN 9 WHEN abs(dd) < 256 THEN 12 WHEN abs(dd) < 2048 THEN 16 ELSE 36 END AS bits FROM (SELECT d - lag(d) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dd FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) - lag(CAST(floor(epoch(ts)) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events))"
 
 
-@query("layout_metrics", _case("samples", _DD, {"sorted-set": "88.0", "stream": "32.0", "series-raw": "16.0", "series-compressed": "bits / 8.0 + 2", "series-noise": "bits / 8.0 + 8"}))
+@query("layout_metrics", _case("samples", _DD, {"sorted-set": "88.0", "stream": "32.0", "hash": "24.0", "series-raw": "16.0", "series-integer": "bits / 8.0 + 2", "series-two-decimals": "bits / 8.0 + 5", "series-noise": "bits / 8.0 + 8", "series-and-hourly": "bits / 8.0 + 2 + 16 / 360.0"}))
 def layout_metrics(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = table(spark, d, "events").withColumn("s", epoch_s(F.col("ts"))).withColumn("d", F.col("s") - F.lag("s").over(w)).withColumn("dd", F.abs(F.col("d") - F.lag("d").over(w)))
     bits = F.when(F.col("dd").isNull(), 64).when(F.col("dd") == 0, 1).when(F.col("dd") < 64, 9).when(F.col("dd") < 256, 12).when(F.col("dd") < 2048, 16).otherwise(36)
-    return L.compare(rows.select(bits.alias("bits")), {"sorted-set": F.lit(88.0), "stream": F.lit(32.0), "series-raw": F.lit(16.0), "series-compressed": F.col("bits") / 8 + 2, "series-noise": F.col("bits") / 8 + 8})
+    return L.compare(rows.select(bits.alias("bits")), {"sorted-set": F.lit(88.0), "stream": F.lit(32.0), "hash": F.lit(24.0), "series-raw": F.lit(16.0), "series-integer": F.col("bits") / 8 + 2, "series-two-decimals": F.col("bits") / 8 + 5, "series-noise": F.col("bits") / 8 + 8, "series-and-hourly": F.col("bits") / 8 + 2 + F.lit(16 / 360)})
 
 
-@query("layout_ratio", f"WITH l AS ({_case('ids', 'SELECT 36 AS n FROM orders', {'uuid-set': 'n + 64', 'key-per-id': _KEYCOST('n'), 'int-set': '8 + 64', 'sharded-intset': '8 + 16 / 244.0', 'bloom-1pct': '9.5851 / 8', 'bloom-01pct': '14.3776 / 8', 'cuckoo': '1.6'})}) SELECT (SELECT bytes FROM l WHERE variant = 'uuid-set') AS baseline, arg_min(variant, bytes) AS best, min(bytes) AS bytes, round((SELECT bytes FROM l WHERE variant = 'uuid-set') / min(bytes), 4) AS ratio FROM l WHERE variant NOT LIKE 'bloom%' AND variant <> 'cuckoo'")
+@query("layout_ratio", f"WITH l AS ({_case('ids', 'SELECT 36 AS n FROM orders', {'uuid-set': 'n + 64', 'key-per-id': _KEYCOST('n'), 'int-set': '8 + 64', 'sharded-intset': '8 + 16 / 244.0', 'bloom-1pct': '9.5851 / 8', 'bloom-01pct': '14.3776 / 8', 'cuckoo': '1.6'})}) SELECT (SELECT bytes FROM l WHERE variant = 'uuid-set') AS baseline, arg_min(variant, bytes) AS best, min(bytes) AS bytes, round((SELECT bytes FROM l WHERE variant = 'uuid-set') / min(bytes), 4) AS ratio FROM l WHERE variant NOT LIKE 'bloom%' AND variant NOT IN ('cuckoo', 'hyperloglog')")
 def layout_ratio(spark, d):
     """Best and baseline; variants with a caveat (they may answer wrongly) do not count."""
-    rows = layout_dedup(spark, d).where(~F.col("variant").startswith("bloom") & (F.col("variant") != "cuckoo"))
+    rows = layout_dedup(spark, d).where(~F.col("variant").startswith("bloom") & ~F.col("variant").isin("cuckoo", "hyperloglog"))
     told = rows.agg(F.max(F.when(F.col("variant") == "uuid-set", F.col("bytes"))).alias("baseline"), F.min_by("variant", "bytes").alias("best"), F.min("bytes").alias("bytes"))
     return told.select("baseline", "best", "bytes", F.round(F.col("baseline") / F.col("bytes"), 4).alias("ratio"))
+
+
+def _dictionary(df, column: str, order: list[str]) -> bytes:
+    """From the first rows in order: a dictionary has a fixed size."""
+    return C.make_dictionary([bytes(r[0]) for r in df.orderBy(*order).select(F.col(column).cast("binary")).limit(64).collect()])
+
+
+@query("layout_compressed_runs", "SELECT * FROM (VALUES ('json'), ('msgpack'), ('json-zstd'), ('json-dictionary'), ('packed'), ('packed-dictionary')) t(variant), (SELECT count(*) AS records FROM orders)")
+def layout_compressed_runs(spark, d):
+    """Payload bytes of the compressed run layouts, measured; the oracle knows the variants, tests know their order."""
+    return layout_compressed_runs_bytes(spark, d).select("variant", "records")
+
+
+def layout_compressed_runs_bytes(spark, d):
+    j = table(spark, d, "orders").select("o_orderkey", order_json().alias("j"))
+    rows = j.join(_runs(spark, d).select("o_orderkey", RUN.encode(F.struct(*[f.name for f in RUN.fields])).alias("p")), "o_orderkey")
+    dj, dp = _dictionary(rows, "j", ["o_orderkey"]), _dictionary(rows, "p", ["o_orderkey"])
+    size = F.octet_length
+    return L.compare(rows, {"json": size("j"), "msgpack": size(C.msgpack_json(F.col("j"))), "json-zstd": size(C.zstd()(F.col("j"))), "json-dictionary": size(C.deflate_with(dj)(F.col("j"))), "packed": size("p"), "packed-dictionary": size(C.deflate_with(dp)(F.col("p")))})
+
+
+@query("layout_compressed_turns", "SELECT * FROM (VALUES ('text'), ('turn-zstd'), ('turn-dictionary'), ('chunk-zstd'), ('chunk-dictionary')) t(variant)")
+def layout_compressed_turns(spark, d):
+    """Turns one by one and sealed chunks of sixteen, compressed; bytes per turn."""
+    return layout_compressed_turns_bytes(spark, d).select("variant")
+
+
+def layout_compressed_turns_bytes(spark, d):
+    from ..operators.buckets import chunks
+
+    rows = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", "text")
+    words = _dictionary(rows, "text", ["conv_id", "turn"])
+    size = F.octet_length
+    single = rows.agg(F.count("*").alias("n"), F.sum(size("text")).alias("a"), F.sum(size(C.zstd()(F.col("text")))).alias("b"), F.sum(size(C.deflate_with(words)(F.col("text")))).alias("c"))
+    sealed = chunks(rows, ["conv_id"], ["turn"], 16).groupBy("conv_id", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("t"))
+    packed = sealed.agg(F.sum(size(C.zstd()(F.col("t")))).alias("d"), F.sum(size(C.deflate_with(words)(F.col("t")))).alias("e"))
+    names = {"a": "text", "b": "turn-zstd", "c": "turn-dictionary", "d": "chunk-zstd", "e": "chunk-dictionary"}
+    return single.crossJoin(packed).select(F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), (F.col(k) / F.col("n")).alias("bytes")) for k, v in names.items()])).alias("r")).select("r.*")

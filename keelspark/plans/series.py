@@ -126,3 +126,16 @@ def delayed_queue_due(spark, d):
 @query("min_of_repeats", "SELECT event_type, min(value) AS bytes, arg_min(event_id, (value, event_id)) AS run FROM events GROUP BY 1")
 def min_of_repeats(spark, d):
     return _events(spark, d).groupBy("event_type").agg(F.min("value").alias("bytes"), F.min_by("event_id", F.struct("value", "event_id")).alias("run"))
+
+
+@query("exact_counter", "SELECT user_id % 16 AS shard, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS errors, count(*) AS calls FROM events GROUP BY 1")
+def exact_counter(spark, d):
+    return _events(spark, d).groupBy((F.col("user_id") % 16).alias("shard")).agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count("*").alias("calls"))
+
+
+@query("survivors", "SELECT event_type, count(*) AS acked, sum(CASE WHEN event_id % 5 <> 0 THEN 1 ELSE 0 END)::BIGINT AS alive, sum(CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END)::BIGINT AS lost FROM events WHERE event_id % 3 <> 0 GROUP BY 1")
+def survivors(spark, d):
+    """Acknowledged writes that are still there: the arithmetic of a crash test, over two sets of ids."""
+    acked = _events(spark, d).where("event_id % 3 <> 0").select("event_id", "event_type")
+    alive = _events(spark, d).where("event_id % 5 <> 0").select("event_id", F.lit(True).alias("here"))
+    return acked.join(alive, "event_id", "left").groupBy("event_type").agg(F.count("*").alias("acked"), F.count("here").alias("alive"), F.count_if(F.col("here").isNull()).alias("lost"))

@@ -133,3 +133,21 @@ def corpus_similarity(spark, d):
     best = O.top_k(corpus, queries, O.exact, 10).agg(F.avg(F.when(F.col("rank") == 1, F.col("score"))).alias("a"), F.avg("score").alias("b"))
     mean = O.scored(corpus, queries, O.exact).agg(F.avg("score").alias("c"))
     return best.crossJoin(mean).select(F.round("a", 6).alias("top1"), F.round("b", 6).alias("top10"), F.round("c", 6).alias("mean"))
+
+
+@query("vector_normalize", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(3 * x AS DOUBLE) / (3 * sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))))), 4) AS total FROM embeddings")
+def vector_normalize(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", V.normalize(F.transform("embedding", lambda x: x * 3)).alias("v"))
+    return rows.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+
+
+@query("vector_f32_bytes", "SELECT vec_id, len(embedding) * 4 AS bytes, true AS same FROM embeddings")
+def vector_f32_bytes(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "embedding").withColumn("b", codecs.encode_f32(F.col("embedding")))
+    return rows.select("vec_id", F.octet_length("b").cast("long").alias("bytes"), (codecs.decode_f32(F.col("b")) == F.col("embedding")).alias("same"))
+
+
+@query("vector_remove", "SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 3 <> 0 GROUP BY label")
+def vector_remove(spark, d):
+    rows = table(spark, d, "embeddings")
+    return rows.join(rows.where("vec_id % 3 = 0").select("vec_id"), "vec_id", "left_anti").groupBy("label").agg(F.count("*").alias("n"))

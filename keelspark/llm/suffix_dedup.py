@@ -39,7 +39,7 @@ PRIME = (1 << 31) - 1
 BASES = (1_103_515_245, 1_664_525)
 SEGMENT = 1 << 19
 #: names that one sorting task gets, about
-PER_TASK = 2_000_000
+PER_TASK = 500_000
 #: parts of each partition's texts; a part is a chunk
 PARTS = 4
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LABELLED, POOL, TEXT_BYTES = 6000, 3000, 65_536
+LABELLED, POOL, TEXT_BYTES = 4000, 2000, 32_768
 BITS, ROUNDS, TAKE = 15, 3, 120
 #: a word tells the kinds apart beyond this log-likelihood ratio; at most so many do
 SURE, MOST = 12.0, 500

@@ -55,10 +55,12 @@ def findings(spark: SparkSession, keys: DataFrame, config: dict[str, str] = CONF
     used = F.sum("est_bytes").over(Window.partitionBy(F.lit(0)))
     ns = ns.withColumn("floor", F.greatest(F.lit(float(lim["floor"])), used * lim["share"]))
     rules: list[DataFrame] = []
+    cells: list[Column] = []
 
     def over(rule: str, severity: str, when: Column, saving: Column, material: bool = True) -> None:
-        made = ns.where(when).select(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.col("pattern").alias("subject"), saving.cast("double").alias("saving"), "floor")
-        rules.append((made.where("saving >= floor") if material else made).drop("floor"))
+        """A rule over one namespace; all of them are told in a single pass."""
+        holds = when & (saving >= F.col("floor")) if material else when
+        cells.append(F.when(holds, F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.col("pattern").alias("subject"), saving.cast("double").alias("saving"))))
 
     def told(rule: str, severity: str, when: bool) -> None:
         if when:
@@ -89,6 +91,8 @@ def findings(spark: SparkSession, keys: DataFrame, config: dict[str, str] = CONF
     over("hashtable-hashes", "opportunity", (F.col("type") == "hash") & (est >= lim["few"]) & F.map_contains_key("encodings", "hashtable") & (F.col("avg_size") <= lim["fields"]), F.lit(0.0), material=False)
     per = F.col("avg_memory") / F.col("avg_size")
     over("sorted-set-series", "opportunity", (F.col("type") == "zset") & (F.col("avg_size") >= lim["members"]) & (per >= lim["per_member"]), (per - lim["series"]) * F.col("avg_size") * est)
+    told_of = ns.select(F.explode(F.array(*cells)).alias("f")).where("f is not null").select("f.*")
+    rules.append(told_of)
     if pending is not None:
         rules.append(pending.where(F.col("pending") > lim["pending"]).orderBy("key").limit(25).select(F.lit("warning").alias("severity"), F.lit("pending-backlog").alias("rule"), F.col("key").alias("subject"), (F.col("pending") * lim["pending_bytes"]).cast("double").alias("saving")))
     major, minor = (int(x) for x in config["version"].split("."))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
+from itertools import chain as chained
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ def words(text: str) -> list[str]:
 def marks(word: str) -> list[str]:
     """The features of a word, but for the lexicon."""
     w = f"<{word}>"
-    return [w[i : i + 2] for i in range(len(w) - 1)] + [w[i : i + 3] for i in range(len(w) - 2)] + [f"^{word[:k]}" for k in (2, 3, 4)] + [f"${word[-k:]}" for k in (2, 3, 4)]
+    return [*map("".join, zip(w, w[1:], w[2:])), "^" + word[:2], "^" + word[:4], "$" + word[-2:], "$" + word[-4:]]
 
 
 class Chain:
@@ -62,8 +63,8 @@ class Chain:
         self.real[self.place] = True
         self.real = self.real.reshape(self.blocks, block)
 
-    def run(self, emit: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Marginals of each word, and the expected transition counts."""
+    def run(self, emit: np.ndarray, trans: np.ndarray, counted: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals of each word, and the expected transition counts where they are wanted."""
         k = emit.shape[1]
         x = np.ones((self.blocks * self.block, k))
         x[self.place] = np.exp(emit - emit.max(1, keepdims=True))
@@ -105,29 +106,32 @@ class Chain:
             g = alpha[:, s] * v
             gamma[:, s] = g / g.sum(1, keepdims=True)
             ahead = x[:, s] * v
-            prev = alpha[:, s - 1] if s else left
-            pair = prev[:, :, None] * t * ahead[:, None, :]
-            counts += (pair / pair.sum((1, 2), keepdims=True))[on[:, 0]].sum(0)
+            if counted:
+                prev = alpha[:, s - 1] if s else left
+                pair = prev[:, :, None] * t * ahead[:, None, :]
+                counts += (pair / pair.sum((1, 2), keepdims=True))[on[:, 0]].sum(0)
             w = ahead @ t.T
             v = np.where(on, w / w.sum(1, keepdims=True), v)
         return gamma.reshape(-1, k)[self.place], counts
 
     def marginals(self, emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
-        return self.run(emit, trans)[0]
+        return self.run(emit, trans, counted=False)[0]
 
 
 class Model:
     def __init__(self, labels: list[str], index: dict[str, int], weights: np.ndarray, trans: np.ndarray):
-        self.labels, self.index, self.weights, self.trans = labels, index, weights, trans
+        self.labels, self.index, self.trans = labels, index, trans
+        self.weights = np.concatenate([weights, np.zeros((1, weights.shape[1]), dtype=np.float32)])
         self.key = uuid.uuid4().hex
 
     def emissions(self, distinct: list[str]) -> np.ndarray:
         """A row of label scores for each word."""
-        index, cols, ends = self.index, [], []
+        get, cols, ends = self.index.get, [], []
+        # unknown features count in an extra row of zeros
+        none = len(self.weights) - 1
         for w in distinct:
-            cols += [index[m] for m in marks(w) if m in index]
-            if (m := f"={w}") in index:
-                cols.append(index[m])
+            cols += [get(m, none) for m in marks(w)]
+            cols.append(get("=" + w, none))
             ends.append(len(cols))
         sums = np.concatenate([np.zeros((1, len(self.labels)), dtype=np.float32), np.cumsum(self.weights[cols], axis=0, dtype=np.float64)]) if cols else np.zeros((1, len(self.labels)))
         ends = np.array(ends)
@@ -147,7 +151,7 @@ class Model:
             rows[n : n + len(fresh)] = self.emissions(fresh)
             memo |= zip(fresh, range(n, n + len(fresh)))
         self.rows = rows
-        place = np.fromiter((memo[w] for t in texts for w in t), dtype=np.int64)
+        place = np.fromiter(map(memo.__getitem__, chained.from_iterable(texts)), dtype=np.int64)
         return rows[place], np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
 
     def label_words(self, texts: list[list[str]]) -> list[np.ndarray]:

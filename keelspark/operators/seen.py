@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def first_seen(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """df with added: true for the first row of each key."""
-    return df.withColumn("added", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) == 1)
+    """df with added: true for the first row of each key.  The first places are a pre-aggregated minimum that is joined back, so a key with very many rows
+    is never sorted in one task; order has to tell rows apart."""
+    firsts = df.groupBy(*key).agg(F.min(F.struct(*order)).alias("__first")).select(*[F.col(k).alias(f"__{k}") for k in key], "__first")
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
+    return df.join(firsts, on).withColumn("added", F.struct(*order) == F.col("__first")).drop("__first", *[f"__{k}" for k in key])
 
 
 def bloom_size(n: int, p: float) -> tuple[int, int]:

@@ -231,10 +231,12 @@ def hybrid_index_doc(spark, d):
     return thin.groupBy("tenant", "status", "model").agg(F.count("*").alias("n"), F.count_if(F.col("o_totalprice") > 400000).alias("expensive"))
 
 
-@query("thread_list", "SELECT conv_id, string_agg(role || '#' || turn, ',' ORDER BY turn) AS turns, count(*) AS n FROM conversations GROUP BY conv_id")
+@query("thread_list", "SELECT conv_id, CAST(floor(turn / 64) AS BIGINT) AS page, string_agg(role || '#' || turn, ',' ORDER BY turn) AS turns, count(*) AS n FROM conversations GROUP BY 1, 2")
 def thread_list(spark, d):
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"), F.count("*").alias("n"))
-    return rows.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("#"), x["turn"])), ",").alias("turns"), "n")
+    """Threads as lists, a page of 64 turns each, so that no list grows with its thread."""
+    page = F.floor(F.col("turn") / 64)
+    rows = table(spark, d, "conversations").groupBy("conv_id", page.alias("page")).agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"), F.count("*").alias("n"))
+    return rows.select("conv_id", "page", F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("#"), x["turn"])), ",").alias("turns"), "n")
 
 
 @query("chunk_seal", "SELECT conv_id, chunk, count(*) AS turns, CAST(sum(strlen(text)) AS BIGINT) AS bytes, (chunk + 1) * 4 <= max(n) AS sealed FROM (SELECT conv_id, text, CAST(floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / 4) AS BIGINT) AS chunk, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) GROUP BY conv_id, chunk")
@@ -245,6 +247,6 @@ def chunk_seal(spark, d):
 @query("index_consistency", "SELECT 0 AS mismatches, count(*) AS records FROM orders")
 def index_consistency(spark, d):
     state = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
-    index = state.groupBy("status", (F.col("o_orderkey") % 128).alias("bucket")).agg(F.collect_set("o_orderkey").alias("ids")).select(F.col("status").alias("indexed"), F.explode("ids").alias("o_orderkey"))
+    index = state.select(F.col("status").alias("indexed"), (F.col("o_orderkey") % 128).alias("bucket"), "o_orderkey").distinct()
     joined = state.join(index, "o_orderkey", "full_outer")
     return joined.agg(F.count_if(~F.col("status").eqNullSafe(F.col("indexed"))).alias("mismatches"), F.count("*").alias("records"))

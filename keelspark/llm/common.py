@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        made = tempfile.mkdtemp(prefix="keelspark-")
-        atexit.register(shutil.rmtree, made, True)
-        root = f"file://{made}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from ..sources.shared import fresh_path
+from ..sources.tables import table  # noqa: F401  the operators' queries read by it
 
 
 def prepare(spark: SparkSession) -> None:
@@ -34,7 +22,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends here, lost executors cost no recomputation,
     and the shuffle files behind it are dropped as soon as the table is written."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/keelspark/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "true")
@@ -72,9 +60,5 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_string() if pa.types.is_large_string(column.type) else pa.string()).cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def text_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -33,10 +33,11 @@ def scored(corpus: DataFrame, queries: DataFrame, score: Callable[[], Column], o
     return (every if own else every.where("id <> q_id")).withColumn("score", score())
 
 
-def top_k(corpus: DataFrame, queries: DataFrame, score: Callable[[], Column], k: int, descending: bool = True) -> DataFrame:
-    """q_id, id, score, rank: the best k per query, ties by id.  A stated query set against all rows."""
+def top_k(corpus: DataFrame, queries: DataFrame, score: Callable[[], Column], k: int, descending: bool = True, same_ids: bool = False) -> DataFrame:
+    """q_id, id, score, rank: the best k per query, ties by id.  A stated query set against all rows; same_ids: the queries are numbered on their own, so
+    that an equal id means nothing."""
     order = F.col("score").desc() if descending else F.col("score").asc()
-    return scored(corpus, queries, score).withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(order, "id"))).where(F.col("rank") <= k)
+    return scored(corpus, queries, score, own=same_ids).withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(order, "id"))).where(F.col("rank") <= k)
 
 
 def exact() -> Column:

@@ -16,9 +16,9 @@ def _events(spark, d):
     return table(spark, d, "events")
 
 
-@query("ts_rollup_avg_1h", "SELECT event_type, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS bucket, round(avg(value), 6) AS avg, count(*) AS n FROM events GROUP BY 1, 2")
+@query("ts_rollup_avg_1h", "SELECT event_type, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS bucket, round(avg(value), 9) AS avg, count(*) AS n FROM events GROUP BY 1, 2")
 def ts_rollup_avg_1h(spark, d):
-    return S.rollup(_events(spark, d), "event_type", "ts", "value").withColumn("avg", F.round("avg", 6))
+    return S.rollup(_events(spark, d), "event_type", "ts", "value").withColumn("avg", F.round("avg", 9))
 
 
 @query("ts_range", "SELECT event_id, user_id, value FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-11 00:00:00' ORDER BY ts, event_id")
@@ -27,14 +27,14 @@ def ts_range(spark, d):
 
 
 @query("ts_retention", f"""WITH e AS (SELECT *, {_US} > (SELECT max({_US}) FROM events) - 86400000000 AS raw FROM events)
-SELECT 'raw' AS kind, event_type, NULL::BIGINT AS bucket, count(*) AS n, round(avg(value), 6) AS avg FROM e WHERE raw GROUP BY event_type
-UNION ALL SELECT 'rollup', event_type, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT), count(*), round(avg(value), 6) FROM e WHERE NOT raw GROUP BY event_type, 3""")
+SELECT 'raw' AS kind, event_type, NULL::BIGINT AS bucket, count(*) AS n, round(avg(value), 9) AS avg FROM e WHERE raw GROUP BY event_type
+UNION ALL SELECT 'rollup', event_type, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT), count(*), round(avg(value), 9) FROM e WHERE NOT raw GROUP BY event_type, 3""")
 def ts_retention(spark, d):
     events = _events(spark, d)
     last = events.agg(F.max(S.epoch_us(F.col("ts"))).alias("last"))
     marked = events.crossJoin(F.broadcast(last)).withColumn("raw", S.epoch_us(F.col("ts")) > F.col("last") - F.lit(86_400_000_000))
-    raw = marked.where("raw").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg")).select(F.lit("raw").alias("kind"), "event_type", F.lit(None).cast("long").alias("bucket"), "n", "avg")
-    rolled = S.rollup(marked.where("not raw"), "event_type", "ts", "value").select(F.lit("rollup").alias("kind"), "event_type", "bucket", "n", F.round("avg", 6).alias("avg"))
+    raw = marked.where("raw").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 9).alias("avg")).select(F.lit("raw").alias("kind"), "event_type", F.lit(None).cast("long").alias("bucket"), "n", "avg")
+    rolled = S.rollup(marked.where("not raw"), "event_type", "ts", "value").select(F.lit("rollup").alias("kind"), "event_type", "bucket", "n", F.round("avg", 9).alias("avg"))
     return raw.unionByName(rolled)
 
 

@@ -12,9 +12,9 @@ from .registry import query
 from .state import _FOLD
 
 
-@query("stream_rollup_1h", "SELECT event_type, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS bucket, round(avg(value), 6) AS avg, count(*) AS n FROM events GROUP BY 1, 2")
+@query("stream_rollup_1h", "SELECT event_type, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS bucket, round(avg(value), 9) AS avg, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_rollup_1h(spark, d):
-    return R.settle(R.rollup(R.source(spark, f"{d}/events.parquet")), "complete", "rollup").withColumn("avg", F.round("avg", 6))
+    return R.settle(R.rollup(R.source(spark, f"{d}/events.parquet")), "complete", "rollup").withColumn("avg", F.round("avg", 9))
 
 
 @query("stream_first_seen", "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1")

@@ -30,11 +30,12 @@ def namespaces(keys: DataFrame, dbsize: int | Column | None = None) -> DataFrame
         F.sum("n").alias("n"), F.sum("memory").alias("memory"), F.sum("bytes").alias("bytes"), F.sum("size").alias("size"), F.sum("with_ttl").alias("with_ttl"), F.min("first").alias("first"), F.sum("key_len").alias("key_len"), F.sum("waste").alias("waste"),
         F.min("least").alias("least"), F.max("most").alias("most"), F.sum("jsonish").alias("jsonish"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("encoding", "n")))).alias("encodings"),
     )
-    scanned = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    # the total is one row; it joins instead of a window over all patterns, which would be one task's work
+    scanned = F.col("scanned")
     size = scanned if dbsize is None else F.lit(dbsize) if isinstance(dbsize, int) else dbsize
     n = F.col("n")
     est = js_round(n / scanned * size).cast("long")
-    return whole.select(
+    return whole.crossJoin(F.broadcast(part.agg(F.sum("n").alias("scanned")))).select(
         "pattern", F.col("first.type").alias("type"), "n", est.alias("est_keys"), (F.col("memory") / n).alias("avg_memory"), F.when(F.col("first.type") == "string", F.col("bytes") / n).otherwise(0.0).alias("avg_bytes"), "encodings", (F.col("with_ttl") / n).alias("ttl_coverage"),
         (F.col("memory") / n * est).alias("est_bytes"), (F.col("size") / n).alias("avg_size"), (F.col("key_len") / n).alias("avg_key_len"), (F.col("waste") / n).alias("avg_waste"), "least", "most", "jsonish",
     )
@@ -51,9 +52,9 @@ def json_shape(keys: DataFrame) -> DataFrame:
 def findings(spark: SparkSession, keys: DataFrame, config: dict[str, str] = CONFIG, pending: DataFrame | None = None, limits: dict | None = None) -> DataFrame:
     """severity, rule, subject, saving.  pending: key, pending per consumer group."""
     lim = LIMITS | (limits or {})
-    ns = namespaces(keys).join(F.broadcast(json_shape(keys)), "pattern", "left")  # a row per pattern
-    used = F.sum("est_bytes").over(Window.partitionBy(F.lit(0)))
-    ns = ns.withColumn("floor", F.greatest(F.lit(float(lim["floor"])), used * lim["share"]))
+    ns = namespaces(keys)
+    floor = ns.agg(F.greatest(F.lit(float(lim["floor"])), F.sum("est_bytes") * lim["share"]).alias("floor"))
+    ns = ns.join(json_shape(keys), "pattern", "left").crossJoin(F.broadcast(floor))
     rules: list[DataFrame] = []
     cells: list[Column] = []
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sizes as S
@@ -51,8 +50,9 @@ def namespace_profile(spark, d):
 @query("top_namespaces", f"WITH {T.PROFILE} SELECT pattern, round(est_bytes, 4) AS est_bytes, round(100 * est_bytes / sum(est_bytes) OVER (), 4) AS percent FROM ns ORDER BY est_bytes DESC, pattern LIMIT 8")
 def top_namespaces(spark, d):
     ns = P.namespaces(keyspace(spark, d))
-    share = F.round(F.lit(100) * F.col("est_bytes") / F.sum("est_bytes").over(Window.partitionBy(F.lit(0))), 4)
-    return ns.select("pattern", F.round("est_bytes", 4).alias("est_bytes"), share.alias("percent")).orderBy(F.desc("est_bytes"), "pattern").limit(8)
+    total = ns.agg(F.sum("est_bytes").alias("total"))
+    share = F.round(F.lit(100) * F.col("est_bytes") / F.col("total"), 4)
+    return ns.crossJoin(F.broadcast(total)).select("pattern", F.round("est_bytes", 4).alias("est_bytes"), share.alias("percent")).orderBy(F.desc("est_bytes"), "pattern").limit(8)
 
 
 _JSON = f"""{T.KEYS}, shape AS (

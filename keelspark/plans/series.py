@@ -99,7 +99,7 @@ def sketch_archive_merge(spark, d):
     """Sketches as bytes of a table, merged after reading them back; the median's rank stays within two per cent."""
     kept = _sketches(spark, d).withColumn("sketch", F.unhex(F.hex("sketch")))
     told = _merged(kept).select("event_type", F.expr("kll_sketch_get_quantile_double(sketch, 0.5D)").alias("g"), "n")
-    rank = _events(spark, d).join(F.broadcast(told), "event_type").groupBy("event_type").agg((F.count_if(F.col("value") <= F.col("g")) / F.count("*")).alias("r"))
+    rank = _events(spark, d).join(told, "event_type").groupBy("event_type").agg((F.count_if(F.col("value") <= F.col("g")) / F.count("*")).alias("r"))
     return rank.select("event_type", (F.abs(F.col("r") - 0.5) <= 0.02).alias("close"))
 
 

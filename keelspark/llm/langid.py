@@ -248,16 +248,17 @@ def held_out() -> F.Column:
 
 
 def training_rows(docs: DataFrame, rows: int = ROWS) -> list[tuple[str, str]]:
-    """At most `rows` labelled texts for each of at most LABELS labels, chosen by a hash.  The first pass counts; the second keeps about
-    twice as many as needed before the exact cut, so that no task sends more than it has to."""
+    """At most `rows` different labelled texts for each of at most LABELS labels, chosen by a hash.  The first pass counts; the second keeps about
+    four times as many as needed before the exact cut, so that no task sends more than it has to.  Copies of a text fall together under the hash,
+    so the chance comes from the number of different texts."""
     fit_ = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), (~held_out()).alias("use")).where("use and lang is not null and text is not null and lang <> 'und'").where(F.octet_length("text").between(1, TRAIN_BYTES))
-    counts = fit_.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()
+    counts = fit_.groupBy("lang").agg(F.count("*").alias("count"), F.count_distinct(F.xxhash64("text")).alias("texts")).orderBy(F.desc("count"), "lang").limit(LABELS).collect()
     if not counts:
         return []
     span = 1 << 30
     chance = F.lit(0)
     for r in counts:
-        chance = F.when(F.col("lang") == r["lang"], F.lit(min(span, 4 * span * rows // max(r["count"], 1)))).otherwise(chance)
+        chance = F.when(F.col("lang") == r["lang"], F.lit(min(span, 4 * span * rows // max(r["texts"], 1)))).otherwise(chance)
     dice = F.xxhash64("text", "lang")
     near = fit_.select("text", "lang", dice.alias("dice")).where(F.pmod("dice", F.lit(span)) < chance).distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("dice", "text"))

@@ -5,6 +5,9 @@ k = floor(RATE * m) edits; cut into k + 1 pieces, at least one piece must occur
 over a text; each hit fixes where the item would lie, overlapping windows of an item are merged, and Myers' bit-parallel distance verifies
 them.  No pair is lost and only rows with hits leave a task: no shuffle of the texts.
 
+Items of fewer than LEAST characters are searched as whole words: a space before and after belongs to what is compared, so that
+"cat" is not found in "concatenate".  Their budget is the same rule, which leaves none below 17 characters.
+
 The items are a query set held against all rows.  Their size is checked: beyond BLOCK_BYTES they are taken in blocks, one pass each, so what
 travels to the executors never grows past that.
 
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 RATE = 0.06
-#: items of fewer characters say too little to call a text leaked
+#: items of fewer characters are matched as whole words
 LEAST = 40
 BLOCK_BYTES = 16 << 20
 _OTHER = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
@@ -76,9 +79,10 @@ class Matcher:
         texts: dict[str, list[int]] = defaultdict(list)
         for i, text in items:
             n = normalise(text)
-            if len(n) >= least:
+            if n:
                 texts[n].append(i)
-        self.items = [(t, sorted(ids), int(rate * len(t)), peq(t)) for t, ids in sorted(texts.items())]
+        shown = [(n if len(n) >= least else f" {n} ", n, ids) for n, ids in sorted(texts.items())]
+        self.items = [(t, sorted(ids), int(rate * len(n)), peq(t)) for t, n, ids in shown]
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (t, _, k, _) in enumerate(self.items):
             cuts = [len(t) * j // (k + 1) for j in range(k + 2)]
@@ -95,16 +99,21 @@ class Matcher:
         flat = normalise(text)
         if not flat or not self.items:
             return []
+        flat = f" {flat} "
         windows: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for end, (size, where) in self.tree.iter(flat):
             for n, offset in where:
                 t, _, k, _ = self.items[n]
+                if not k:
+                    # the one piece is the whole item
+                    windows[n] = []
+                    continue
                 start = end - size + 1 - offset
                 windows[n].append((start - k, start + len(t) + k))
         out = []
         for n, spans in windows.items():
             t, ids, k, masks = self.items[n]
-            best, reach = k + 1, -1
+            best = k + 1 if k else 0
             merged: list[list[int]] = []
             for a, b in sorted(set(spans)):
                 if merged and a <= merged[-1][1]:

@@ -11,7 +11,7 @@ from ..operators.series import epoch_s
 from ..sources.keyspace import order_json
 from ..sources.tables import table
 from . import sqltext as T
-from .registry import query
+from .registry import measured, query
 
 
 @query("varint_bytes", f"SELECT l_orderkey, l_linenumber, {T.varint('v')} AS n, {T.varint('z')} AS n_signed FROM (SELECT l_orderkey, l_linenumber, v, CASE WHEN w >= 0 THEN w * 2 ELSE w * -2 - 1 END AS z FROM (SELECT l_orderkey, l_linenumber, CAST(l_orderkey * l_partkey * 97 % 5000000000 AS BIGINT) AS v, CAST(l_partkey * 31 - l_orderkey * 7 AS BIGINT) AS w FROM lineitem))")
@@ -242,11 +242,13 @@ def _dictionary(df, column: str, order: list[str]) -> bytes:
 
 @query("layout_compressed_runs", "SELECT * FROM (VALUES ('json'), ('msgpack'), ('json-zstd'), ('json-dictionary'), ('packed'), ('packed-dictionary')) t(variant), (SELECT count(*) AS records FROM orders)")
 def layout_compressed_runs(spark, d):
-    """Payload bytes of the compressed run layouts, measured; the oracle knows the variants, tests know their order."""
+    """The variants of layout_compressed_runs_bytes, which the oracle knows."""
     return layout_compressed_runs_bytes(spark, d).select("variant", "records")
 
 
+@measured("layout_compressed_runs_bytes")
 def layout_compressed_runs_bytes(spark, d):
+    """Payload bytes of the compressed run layouts, measured."""
     j = table(spark, d, "orders").select("o_orderkey", order_json().alias("j"))
     rows = j.join(_runs(spark, d).select("o_orderkey", RUN.encode(F.struct(*[f.name for f in RUN.fields])).alias("p")), "o_orderkey")
     dj, dp = _dictionary(rows, "j", ["o_orderkey"]), _dictionary(rows, "p", ["o_orderkey"])
@@ -256,11 +258,13 @@ def layout_compressed_runs_bytes(spark, d):
 
 @query("layout_compressed_turns", "SELECT * FROM (VALUES ('text'), ('turn-zstd'), ('turn-dictionary'), ('chunk-zstd'), ('chunk-dictionary')) t(variant)")
 def layout_compressed_turns(spark, d):
-    """Turns one by one and sealed chunks of sixteen, compressed; bytes per turn."""
+    """The variants of layout_compressed_turns_bytes, which the oracle knows."""
     return layout_compressed_turns_bytes(spark, d).select("variant")
 
 
+@measured("layout_compressed_turns_bytes")
 def layout_compressed_turns_bytes(spark, d):
+    """Turns one by one and sealed chunks of sixteen, compressed; bytes per turn."""
     from ..operators.buckets import chunks
 
     rows = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", "text")

@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -126,8 +127,19 @@ def test_fingerprints_follow_content():
     buf = rng.integers(0, 256, 3 * suffix_dedup.SEGMENT // 2, dtype=np.uint8)
     buf[-900:-500] = buf[1000:1400]
     at = np.array([0, 1000, suffix_dedup.SEGMENT - 200, len(buf) - 900, len(buf) - 400])
-    h = suffix_dedup.fingerprints(buf, 400, at)
+    h = suffix_dedup.fingerprints((buf, buf), 400, at)
     assert h[1] == h[3] and len(set(h.tolist())) == 4
+    each = suffix_dedup.fingerprints((buf, buf), np.array([400, 300, 400, 300, 399]), at)
+    other = suffix_dedup.fingerprints((buf[500:], buf[500:]), np.array([7, 300]), np.array([0, 500]))
+    assert each[1] == each[3] == other[1] and len(set(each.tolist())) == 4
+
+
+def test_word_units():
+    raw = b" one  two\none\x0b" + b"x" * 9000 + b" " + b"x" * 9000 + b" " + b"x" * 8999
+    (a, b), start, stop = suffix_dedup.word_units(np.frombuffer(raw, dtype=np.uint8), suffix_dedup.BASES)
+    assert [raw[i:j] for i, j in zip(start, stop)] == raw.split()
+    both = list(zip(a.tolist(), b.tolist()))
+    assert both[0] == both[2] and both[3] == both[4] and len(set(both)) == 4
 
 
 def removal(texts, n):
@@ -156,22 +168,68 @@ def corpus(rng, unit):
 
 
 @pytest.mark.parametrize("length, q", [(400, 17), (60, 5)])
-def test_repeats_against_brute_force(spark, length, q, monkeypatch):
+def test_repeats_against_brute_force(spark, length, q):
     rng = random.Random(length)
     texts = corpus(rng, length)
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, key string").repartition(5)
-    real = suffix_dedup.repeated_spans
-    monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda d: real(d, length, q, per_task=2000))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.op9(df).collect()}
+    plan = suffix_dedup.Plan(length, q, per_task=2000, chunk_bytes=9000)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.op9(df, plan).collect()}
     want = removal([(t or "").encode() for t in texts], length)
     assert [got[i] for i in range(len(texts))] == want
     assert sum(w[1] for w in want) > 0
-    kept = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(df).collect()}
+    kept = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(df, plan).collect()}
     assert kept[1] is None and kept[0] == ""
     whole = [i for i in range(len(texts)) if kept[i] is not None and hashlib.sha256(kept[i].encode()).hexdigest() == want[i][3]]
     assert len(whole) >= len(texts) - 4  # a run may end inside a character
 
 
+def passages(texts, n):
+    """Runs of words covered by n-word strings that two texts hold, by brute force: spans in bytes for each text."""
+    split = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0d]+", t)] for t in texts]
+    held = collections.defaultdict(set)
+    for i, (t, ws) in enumerate(zip(texts, split)):
+        for k in range(len(ws) - n + 1):
+            held[tuple(t[a:b] for a, b in ws[k : k + n])].add(i)
+    out = []
+    for t, ws in zip(texts, split):
+        gone = [False] * len(ws)
+        for k in range(len(ws) - n + 1):
+            if len(held[tuple(t[a:b] for a, b in ws[k : k + n])]) > 1:
+                gone[k : k + n] = [True] * n
+        runs = [(k, next((j for j in range(k, len(ws)) if not gone[j]), len(ws))) for k in range(len(ws)) if gone[k] and not (k and gone[k - 1])]
+        out.append([(ws[a][0], ws[b - 1][1]) for a, b in runs])
+    return out
+
+
+def test_passages_against_brute_force(spark):
+    rng = random.Random(51)
+    word = lambda: "".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 6)))
+    planted = [[word() for _ in range(rng.randint(51, 60))] for _ in range(5)]
+    texts = ["", None, "and " * 300, "� " + " ".join(planted[0])]
+    for i in range(60):
+        words = [word() for _ in range(rng.randint(0, 200))]
+        if i % 3 == 0:
+            words[40:40] = planted[i % 5] if i % 2 else planted[i % 5][:50]
+        texts.append(rng.choice(("", " ")) + rng.choice((" ", "\n", " \t ")).join(words))
+    texts += ["word " * 80 + texts[-1]] * 3
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, key int, spans int").repartition(4)
+    plan = suffix_dedup.PASSAGES._replace(chunk_bytes=4000, per_task=500)
+    raw = [(t or "").encode() for t in texts]
+    want = passages(raw, 51)
+    got = suffix_dedup.remove_repeats(df, plan).collect()
+    assert len(got) == len(texts) and all(r.key == 1 and r.spans == 2 for r in got)
+    kept = {r.doc_id: r.text for r in got}
+    assert kept[1] is None
+    for i, t in enumerate(raw):
+        if texts[i] is not None:
+            assert kept[i].encode() == suffix_dedup.kept(t, want[i]), i
+    counts = {r.doc_id: r.n_passages for r in suffix_dedup.op9(df.drop("key", "spans"), passages=plan).collect()}
+    same = collections.Counter(texts)
+    for i, t in enumerate(texts):
+        assert counts[i] == (len(want[i]) if same[t] == 1 else (1 if len((t or "").split()) > 50 else 0))
+    assert sum(map(bool, want)) > 10
+
+
 def test_repeats_in_nothing(spark):
     assert suffix_dedup.op9(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     short = suffix_dedup.op9(spark.createDataFrame([(1, "abc"), (None, None)], "doc_id long, text string")).collect()

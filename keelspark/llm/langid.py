@@ -5,8 +5,9 @@ weights of these and the transitions between labels are learned together by maxi
 then gives every word's label distribution, so that code-switched text gets a label per word.  A document's language is the label with the
 largest mean marginal, its score that mean.
 
-Training uses a bounded, deterministic sample of labelled rows (ROWS per label, texts up to TRAIN_BYTES, at most LABELS labels) outside the
-held-out fifth; the model has a size bounded by that sample and travels in the closure.  Prediction reads the text alone, is
+Training uses a bounded, deterministic sample of labelled rows (ROWS per label, MOST_ROWS in all but one of each label at least, texts up to
+TRAIN_BYTES; a label that has longer texts alone is learned from its shortest one) outside the held-out fifth; every label is learned.  The model
+has a size bounded by that sample and travels in the closure.  Prediction reads the text alone, is
 row-by-row and handles words in blocks whose transfer matrices are composed, so a very long text costs no more per word than a short one.
 
 Defined results: null text or no letter: `und`, score 0; no labelled rows at all: `und` everywhere; a null doc_id counts as the
@@ -28,7 +29,7 @@ from pyspark.sql import Window
 
 from . import common
 
-ROWS, TRAIN_BYTES, LABELS = 120, 16_384, 64
+ROWS, MOST_ROWS, TRAIN_BYTES = 120, 7680, 16_384
 ROUNDS, RATE, RIDGE = 60, 0.15, 1e-4
 LEXICON = 400
 BLOCK = 32
@@ -49,7 +50,9 @@ def marks(word: str) -> list[str]:
 class Chain:
     """Forward and backward over blocks: scores are relative, each step is normalised."""
 
-    def __init__(self, lengths: np.ndarray, block: int = BLOCK):
+    def __init__(self, lengths: np.ndarray, labels: int = 1, block: int = BLOCK):
+        # a block holds a matrix of labels by labels: with many labels, longer blocks keep them as small as the words' own scores
+        block = max(block, labels * labels // 8)
         self.block, self.n = block, int(lengths.sum())
         per = -(-lengths // block)
         self.blocks = int(per.sum())
@@ -157,7 +160,7 @@ class Model:
     def label_words(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The label distribution of every word of every (non-empty) text."""
         emit, lengths = self._scored(texts)
-        return np.split(Chain(lengths).marginals(emit, self.trans), np.cumsum(lengths)[:-1])
+        return np.split(Chain(lengths, len(self.labels)).marginals(emit, self.trans), np.cumsum(lengths)[:-1])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
@@ -165,6 +168,7 @@ class Model:
             return names, scores
         wait: list[int] = []
         held: list[list[str]] = []
+        at_once = 800_000 // max(4, len(self.labels))
         size = 0
         for i, text in enumerate(texts):
             found = words(text) if text else []
@@ -172,9 +176,9 @@ class Model:
                 wait.append(i)
                 held.append(found)
                 size += len(found)
-            if held and (size > 200_000 or i == len(texts) - 1):
+            if held and (size > at_once or i == len(texts) - 1):
                 emit, lengths = self._scored(held)
-                gamma = Chain(lengths).marginals(emit, self.trans)
+                gamma = Chain(lengths, len(self.labels)).marginals(emit, self.trans)
                 mean = np.add.reduceat(gamma, np.cumsum(lengths) - lengths) / lengths[:, None]
                 for j, row in zip(wait, mean):
                     best = int(row.argmax())
@@ -220,8 +224,8 @@ def fit(rows: list[tuple[str, str]], rounds: int = ROUNDS) -> Model:
     truth = np.repeat([y for _, y in runs], [len(ws) for ws, _ in runs])
     # sequences of eight runs
     lengths = np.array([len(ws) for ws, _ in runs])
-    chain = Chain(np.add.reduceat(lengths, np.arange(0, len(lengths), 8)))
     k, d, n = len(labels), len(index), len(place)
+    chain = Chain(np.add.reduceat(lengths, np.arange(0, len(lengths), 8)), k)
     empirical = np.zeros((k, k))
     starts = np.cumsum(lengths)[7::8]
     joined = np.ones(n - 1, dtype=bool)
@@ -247,22 +251,25 @@ def held_out() -> F.Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def training_rows(docs: DataFrame, rows: int = ROWS) -> list[tuple[str, str]]:
-    """At most `rows` different labelled texts for each of at most LABELS labels, chosen by a hash.  The first pass counts; the second keeps about
-    four times as many as needed before the exact cut, so that no task sends more than it has to.  Copies of a text fall together under the hash,
-    so the chance comes from the number of different texts."""
-    fit_ = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), (~held_out()).alias("use")).where("use and lang is not null and text is not null and lang <> 'und'").where(F.octet_length("text").between(1, TRAIN_BYTES))
-    counts = fit_.groupBy("lang").agg(F.count("*").alias("count"), F.count_distinct(F.xxhash64("text")).alias("texts")).orderBy(F.desc("count"), "lang").limit(LABELS).collect()
+def training_rows(docs: DataFrame, rows: int = ROWS, most: int = MOST_ROWS) -> list[tuple[str, str]]:
+    """At most `rows` different labelled texts for each label, chosen by a hash, and fewer where there are very many labels (`most` in all, but one
+    each).  The first pass counts; the second keeps about four times as many as needed before the exact cut, so that no task sends more than it
+    has to.  Copies of a text fall together under the hash, so the chance comes from the number of different texts."""
+    fit_ = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), (~held_out()).alias("use")).where("use and lang is not null and text <> '' and lang <> 'und'")
+    fits = F.octet_length("text") <= TRAIN_BYTES
+    counts = fit_.groupBy("lang").agg(F.count_distinct(F.when(fits, F.xxhash64("text"))).alias("texts"), F.min(F.octet_length("text")).alias("least")).collect()
     if not counts:
         return []
+    rows = max(1, min(rows, most // len(counts)))
     span = 1 << 30
-    chance = F.lit(0)
-    for r in counts:
-        chance = F.when(F.col("lang") == r["lang"], F.lit(min(span, 4 * span * rows // max(r["texts"], 1)))).otherwise(chance)
+    table_ = [(r["lang"], min(span, 4 * span * rows // max(r["texts"], 1)), 0 if r["texts"] else r["least"]) for r in counts]
+    chances = F.broadcast(docs.sparkSession.createDataFrame(table_, "lang string, chance long, alone long"))
     dice = F.xxhash64("text", "lang")
-    near = fit_.select("text", "lang", dice.alias("dice")).where(F.pmod("dice", F.lit(span)) < chance).distinct()
+    near = fit_.join(chances, "lang").where((fits & (F.pmod(dice, F.lit(span)) < F.col("chance"))) | (F.octet_length("text") == F.col("alone")))
+    near = near.select("text", "lang", dice.alias("dice"), "alone").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("dice", "text"))
-    return [(r["text"], r["lang"]) for r in near.withColumn("rank", rank).where(F.col("rank") <= rows).select("text", "lang").collect()]
+    wanted = F.when(F.col("alone") > 0, F.lit(1)).otherwise(F.lit(rows))
+    return [(r["text"], r["lang"]) for r in near.withColumn("rank", rank).where(F.col("rank") <= wanted).select("text", "lang").collect()]
 
 
 def train(docs: DataFrame, rows: int = ROWS) -> Model:
@@ -315,11 +322,12 @@ def label_words(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Rows whose text has a language; lang becomes the predicted one, all other columns stay as they are."""
-    model = train(docs)
-    at = docs.columns.index("text")
-    to = docs.columns.index("lang")
-    plain = docs.withColumn("lang", F.col("lang").cast("string"))
+    """Rows whose text has a language; lang becomes the predicted one, all other columns stay as they are.  Null texts and texts without a
+    letter go; without labelled rows, or without a column lang, nothing is learned and no row has a language; repeated rows are judged alike."""
+    plain = docs.withColumn("lang", (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string"))
+    model = train(plain)
+    at = plain.columns.index("text")
+    to = plain.columns.index("lang")
 
     def run(batches):
         for batch in batches:

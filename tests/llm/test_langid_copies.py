@@ -17,3 +17,18 @@ def test_training_rows_of_copies(spark):
     got = langid.training_rows(df)
     count = {y: len({t for t, z in got if z == y}) for y in ("aa", "bb", "cc")}
     assert count == {"aa": langid.ROWS, "bb": langid.ROWS, "cc": 3} and len(got) == 2 * langid.ROWS + 3
+
+
+def test_more_labels_than_rows_for_each(spark):
+    """Rows are capped, labels are not; a label that has only long texts is learned too."""
+    rng = random.Random(32)
+    own = [[f"{chr(97 + k // 26)}{chr(97 + k % 26)}{rng.choice('xyz')}{rng.choice('pqrst')}" for _ in range(6)] for k in range(90)]
+    rows = [(1000 * k + i, " ".join(rng.choices(own[k], k=8)), f"l{k:02d}") for k in range(90) for i in range(6)]
+    rows += [(900_000 + i, "zzq " * 5000, "long") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.training_rows(df, most=200)
+    assert len({y for _, y in got}) == 91 and len(got) <= 200
+    model = langid.fit(langid.training_rows(df), rounds=15)
+    names, _ = model.predict([t for _, t, _ in rows[:540:7]] + ["zzq zzq"])
+    assert sum(a == b for a, (_, _, b) in zip(names, rows[:540:7])) > 0.9 * len(names) and names[-1] == "long"
+    assert langid.keep_identified(df.drop("lang")).count() == 0

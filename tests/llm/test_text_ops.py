@@ -212,7 +212,7 @@ def test_forward_backward_against_enumeration():
     for lengths in ([1], [2, 5, 1], [7]):
         emit = rng.normal(size=(sum(lengths), 3))
         for block in (2, 3, 32):
-            gamma, counts = langid.Chain(np.array(lengths), block).run(emit, trans)
+            gamma, counts = langid.Chain(np.array(lengths), block=block).run(emit, trans)
             at, expect = 0, np.zeros((3, 3))
             for n in lengths:
                 want, total, pair = np.zeros((n, 3)), 0.0, np.zeros((3, 3))

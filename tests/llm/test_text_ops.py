@@ -96,12 +96,12 @@ def test_blocks_of_items(spark):
 
 PAGE = """<!DOCTYPE html><html><head><title>T {i}</title><style>p{{}}</style><script>var t="</p><p>no";</script></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href=/a>Home</a><li><a>{nav}</a></ul></nav><div class="ad">Buy {nav} now</div><div id=main-{i} class="content"><article><h1>Title&nbsp;{i} &amp; more</h1>
-<p>First   <b>bold</b> {body}<br>line<p>Second &lt;{i}&gt; <!-- <p>hidden</p> --> end<ul><li>one<li>two {i}</ul><form><input>Search</form><div class="notice">Cookies!</div>
-<table><tr><td>c1<td>c2</table></article><aside>Side {nav}</aside><section id="comments"><p>Nice {nav}!</section></div><footer>&copy; {nav}</footer></body></html>"""
+<p>First   <b>bold</b> {body}<br>line<p>Second &lt;{i}&gt; <!-- <p>hidden</p> --> end<ul><li>one {i}<li>two {i}</ul><form><input>Search</form><div class="notice">Cookies!</div>
+<table><tr><td>c1 {i}<td>c2 {i}</table></article><aside>Side {nav}</aside><section id="comments"><p>Nice {nav}!</section></div><footer>&copy; {nav}</footer></body></html>"""
 
 
 def want(i, body):
-    return "\n\n".join([f"Title {i} & more", f"First bold {body} line", f"Second <{i}> end", "one", f"two {i}", "c1", "c2"])
+    return "\n\n".join([f"Title {i} & more", f"First bold {body} line", f"Second <{i}> end", f"one {i}", f"two {i}", f"c1 {i}", f"c2 {i}"])
 
 
 def test_pages(spark):
@@ -120,6 +120,53 @@ def test_pages(spark):
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+#: names that say nothing: only the wrapper can tell menu, notice and footer from the article
+NEUTRAL = """<html><body><div class=c1><ul><li>Home<li>Products and services of the house</ul></div><div class=c2><div class=k7><p>Please note our opening hours</p>
+{body}<p>Share this with your friends</p></div></div><div class=c3><p>All offers are subject to change, see our terms</p></div></body></html>"""
+
+
+def test_wrapper_decides(spark):
+    rng = random.Random(12)
+    some = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(n))
+    told, rows = {}, []
+    for i in range(12):
+        parts = [some(rng.randint(2, 30)) for _ in range(rng.randint(2, 5))]
+        told[i] = "\n\n".join(parts)
+        rows.append((i, f"http://plain.example/{i}", NEUTRAL.format(body="".join(f"<p>{x}</p>" for x in parts))))
+    # half of a host's pages are copies of one article, and another layout of the host has one list of its own
+    rows += [(100 + i, f"http://plain.example/c{i}", rows[3][2]) for i in range(14)]
+    told |= {100 + i: told[3] for i in range(14)}
+    for i in range(4):
+        x, y = some(9), some(20)
+        told[200 + i] = f"{x}\n\n{y}"
+        rows.append((200 + i, f"http://plain.example/l{i}", f"<html><body><table><tr><td>Menu of the shop</table><div class=w><span>{x}</span><div>{y}</div><div>Back to the top</div></div></body></html>"))
+    # a host with two pages that share a paragraph: too few to call it template
+    for i in (300, 301):
+        told[i] = f"{some(8)} {i}\n\nthe very same words"
+        rows.append((i, f"http://two.example/{i}", "<body><div>" + "".join(f"<p>{x}</p>" for x in told[i].split("\n\n")) + "</div></body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    assert got == told
+    assert {r.page_id: r.text for r in html_extract.main_text(df, most=0).collect()} == told
+    blind = {i: html_extract.extract(h, None) for i, _, h in rows}
+    assert all("Please note" in blind[i] for i in range(12))
+
+
+def test_wrapper_of_long_pages():
+    """Nothing switches off for long lists, deep trees or large pages."""
+    rng = random.Random(13)
+    line = lambda: "".join(rng.choice("abcdefgh") for _ in range(12))
+    pages, want_ = [], []
+    for _ in range(3):
+        lines = [line() for _ in range(rng.randint(700, 900))]
+        pages.append("<body>" + "<div>" * 300 + "<p>top</p><p>constant head</p>" + "".join(f"<p>{x}</p>" for x in lines) + "<p>constant end</p>" + "</div>" * 300 + "</body>")
+        want_.append("\n\n".join(lines))
+    path, template = html_extract.induce(pages)
+    root = html_extract.parse(pages[0])
+    assert len(template) == 3
+    assert [html_extract.extract(p, {html_extract.layout(root): (path, template)}) for p in pages] == want_
+
+
 def test_tree_matching():
     a, b = html_extract.parse("<div><p>1<p>2<ul><li>x</ul></div>"), html_extract.parse("<div><p>1<h2>n</h2><p>3<ul><li>x<li>y</ul></div>")
     size, pairs = html_extract.align(a, b)

@@ -18,7 +18,105 @@ def test_license_rules(spark):
     rows = [(i, t) for i, t in enumerate(cases)] + [(99, None)]
     got = {r.doc_id: r.licenses for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: w for i, w in enumerate(cases.values())} | {99: ""}
-    assert all(any(a in form for a in license_scan.ANCHORS) for forms in license_scan.SENTENCES.values() for form in forms)
+    told = [k.replace("@", "licensed under the ") for k in license_scan.KNOWN]
+    assert all(any(a in k for a in anchors) for anchors in (license_scan.ANCHORS, license_scan.TEXT_ANCHORS) for k in told)
+    assert len(license_scan.RULES) > 35
+
+
+WRAPPED = {
+    "MIT": """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.""",
+    "Apache-2.0": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "LGPL-2.1": """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *""",
+    "GPL-2.0": """    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */""",
+    "Zlib": """Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim it.
+
+2. Altered source versions must be plainly marked as such.
+
+3. This notice may not be removed or altered from any source distribution.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.""",
+}
+
+
+def test_wrapped_licenses(spark, tmp_path):
+    import duckdb
+
+    bsd2 = WRAPPED["BSD-3-Clause"].split("3. Neither")[0]
+    cases = {f"some words\n\n{t}\n\nmore words": i for i, t in WRAPPED.items()}
+    cases |= {t.replace("\n", "\r\n"): i for i, t in WRAPPED.items()}
+    cases |= {"\n".join("// " + x for x in WRAPPED["MIT"].split("\n")): "MIT", bsd2: "BSD-2-Clause", WRAPPED["BSD-3-Clause"] + "\n\nother part\n\n" + bsd2: "BSD-2-Clause;BSD-3-Clause"}
+    cases |= {"SPDX-License-Identifier: EPL-2.0\nint x;": "EPL-2.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0", "Distributed under the terms of the\nGNU Affero General Public License, version 3.": "AGPL-3.0"}
+    cases |= {"intro line\nReleased under the Unlicense\nnext line": "Unlicense", "the software is under the isc rules": "", "This project is available under the Boost Software License, Version 1.0!": "BSL-1.0", "made by people": "", "Licensed under CC0 1.0. Licensed under the 2-clause BSD license.": "BSD-2-Clause;CC0-1.0", WRAPPED["MIT"].split("\n\n")[2] + " too": ""}
+    cases["word " * 200_000 + "\n\n" + WRAPPED["MIT"] + "\n\n" + "word " * 100_000] = "MIT"
+    rows = [(i, t, "x") for i, t in enumerate(cases)] + [(900, None, "x"), (900, None, "x"), (None, WRAPPED["ISC"], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, licenses string")
+    got = license_scan.scan(df).collect()
+    told = {r.doc_id: r.licenses for r in got}
+    assert {c[-300:]: told[i] for i, c in enumerate(cases)} == {c[-300:]: w for c, w in cases.items()}
+    assert told[900] == "" and told[None] == "ISC" and len(got) == len(rows)
+    df.select("doc_id", "text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert spark_rows(license_scan.scan(df)) == duck_rows(con.sql(license_scan.oracle()))
+    assert license_scan.scan(df.limit(0)).count() == 0
 
 
 def distance(pattern, text):

@@ -5,8 +5,10 @@ Two views of a document are kept apart: what its text says (hashed words and mea
 one labels the unlabelled documents it is most sure of, in the label's own proportion, for the other.  Both views are then
 calibrated on labelled rows that neither has learned from, combined with weights fitted on those rows, and applied to every document.
 
-The labelled sample (LABELLED rows), the unlabelled pool (POOL rows) and the features (2**BITS words) are documented bounds of the fit; scoring reads
-every whole text row by row.  A view that tells nothing gets a weight near zero by itself.
+The labelled sample (LABELLED rows), the pool of unlabelled rows that pseudo-labels are drawn from (POOL rows, as the published method keeps one) and
+the features (2**BITS words) are documented bounds of the fit, chosen by hashes of doc_id and content.  The sample's features are made on the executors from
+whole texts of any length; only these travel to the driver.  Scoring reads every whole text row by row.  A view that tells nothing gets a weight
+near zero by itself.
 
 Defined results: null text is empty; documents without a label are scored like all others; labels of unknown documents are ignored; where a
 doc_id is labelled twice its least label counts; with no labels, or one kind only, the score is that kind's share (0.5 for none); a null source
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LABELLED, POOL, TEXT_BYTES = 4000, 2000, 32_768
+LABELLED, POOL = 6000, 3000
 BITS, ROUNDS, TAKE = 15, 3, 120
 #: a word tells the kinds apart beyond this log-likelihood ratio; at most so many do
 SURE, MOST = 12.0, 500
@@ -213,22 +215,44 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(col("doc_id", "long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), col("source", "string"), col("lang", "string"), col("n_chars", "long"))
 
 
+_FEATURES = pa.schema([("at", pa.binary()), *((f"y_{t}", pa.int32()) for t in TARGETS), ("source", pa.string()), ("lang", pa.string()), ("n_chars", pa.int64()), ("cols", pa.binary()), ("vals", pa.binary())])
+_FEATURES_DDL = "at binary, " + ", ".join(f"y_{t} int" for t in TARGETS) + ", source string, lang string, n_chars long, cols binary, vals binary"
+
+
 def _some(rows: DataFrame, n: int) -> list:
-    """About n rows chosen by a hash of their doc_id; exactly the n least of them where there are more."""
+    """About n rows chosen by a hash of their doc_id, exactly the n least of them where there are more: their labels, metadata and text features."""
     total = rows.count()
     span = 1 << 30
     dice = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(span))
     near = rows.withColumn("dice", dice).where(F.col("dice") < min(span, 2 * span * n // max(total, 1) + 1))
-    return near.orderBy("dice", "doc_id", F.xxhash64("text"), "text").limit(n).collect()
+    # repeated rows count once; of rows that differ in nothing but metadata the least stays
+    near = near.groupBy("dice", "doc_id", F.sha2("text", 256).alias("mark")).agg(F.min(F.struct("text", "source", "lang", "n_chars", *(f"y_{t}" for t in TARGETS))).alias("r"))
+    last = near.select(F.struct("dice", "doc_id", "mark").alias("k")).orderBy("k").limit(n).agg(F.max("k").alias("k"))
+    picked = near.join(F.broadcast(last), F.struct("dice", "doc_id", "mark") <= F.col("k")).select(F.sha2(F.concat_ws(" ", F.lpad("dice", 10, "0"), "doc_id", "mark"), 256).cast("binary").alias("at"), "r.*")
+
+    def features(batch: pa.RecordBatch) -> dict[str, list]:
+        cols, vals, ends = TextView().rows(batch.column("text").to_pylist())
+        own = [slice(a, b) for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        out = {n: batch.column(n) for n in ("at", *(f"y_{t}" for t in TARGETS), "source", "lang", "n_chars")}
+        return out | {"cols": [cols[x].astype(np.int32).tobytes() for x in own], "vals": [vals[x].astype(np.float32).tobytes() for x in own]}
+
+    return sorted(common.map_batches(picked, features, _FEATURES_DDL, _FEATURES).collect(), key=lambda r: bytes(r["at"]))
+
+
+def _views(rows: list) -> tuple[tuple, tuple]:
+    cols = [np.frombuffer(r["cols"], dtype=np.int32) for r in rows]
+    vals = [np.frombuffer(r["vals"], dtype=np.float32) for r in rows]
+    text = (np.concatenate(cols), np.concatenate(vals), np.cumsum([len(c) for c in cols])) if rows else (np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0, np.int64))
+    return text, MetaView.rows([(r["source"], r["lang"], r["n_chars"]) for r in rows])
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
     common.prepare(docs.sparkSession)
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.min(t).cast("int").alias(f"y_{t}") for t in TARGETS])
-    rows = _columns(docs).where(F.octet_length("text") <= TEXT_BYTES)
+    rows = _columns(docs)
     known = _some(rows.join(marks, "doc_id"), labelled)
-    unknown = _some(rows.join(marks, "doc_id", "left_anti"), pool)
-    views = [(TextView().rows([r["text"] for r in part]), MetaView.rows([(r["source"], r["lang"], r["n_chars"]) for r in part])) for part in (known, unknown)]
+    unlabelled = rows.join(marks, "doc_id", "left_anti").select("*", *[F.lit(None).cast("int").alias(f"y_{t}") for t in TARGETS])
+    views = [_views(known), _views(_some(unlabelled, pool))]
     parts = {}
     for t in TARGETS:
         at = np.array([i for i, r in enumerate(known) if r[f"y_{t}"] is not None], dtype=np.int64)

@@ -225,12 +225,12 @@ def links(distinct: DataFrame, hot: int = HOT, per_task: int = PER_TASK) -> Data
 def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id: the least doc_id reachable over links of at most four differing bits."""
     marks = common.staged(fingerprints(docs, width), "simhash")
-    least = common.staged(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fp")
+    least = common.staged(marks.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")), "simhash-fp")
     roots = common.staged(components(links(least.select("fp"))), "simhash-cc")
-    classes = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    classes = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "times", F.coalesce("root", "fp").alias("root"))
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(ids, "root").select("fp", "component_id")
-    return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = common.staged(classes.join(ids, "root").select("fp", "times", "component_id"), "simhash-named")
+    return common.lookup(marks, named, "fp").select("doc_id", "fp", "component_id")
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from keelspark.llm import components, simhash, suffix_dedup
+from keelspark.llm import common, components, simhash, suffix_dedup
 
 
 def find(up, x):
@@ -108,6 +108,14 @@ def test_near_duplicates(spark):
     assert simhash.op7(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_hot_keys_are_spread(spark):
+    rows = spark.createDataFrame([(i, i % 7 if i % 3 else 9) for i in range(300)], "doc_id long, k long")
+    keyed = rows.groupBy("k").count().withColumnRenamed("count", "times").selectExpr("k", "times", "k * 10 as told")
+    want = sorted((i, k, k * 10) for i, k in rows.collect())
+    for hot in (50, 10**6):
+        assert sorted(tuple(r) for r in common.lookup(rows, keyed, "k", hot).select("doc_id", "k", "told").collect()) == want
+
+
 def test_difference_covers():
     for q in (2, 3, 5, 7, 13, 17):
         v, d = suffix_dedup.difference_cover(q)

@@ -12,31 +12,41 @@ _LOW32 = 0xFFFFFFFF
 
 def code_units(s: Column) -> Column:
     """The UTF-16 code units of a string; empty for an empty string, null for null."""
-    wide = F.encode(s, "UTF-16BE")
-    n = (F.octet_length(wide) / 2).cast("int")
-    units = F.transform(F.sequence(F.lit(1), n), lambda i: F.conv(F.hex(F.substring(wide, i * 2 - 1, F.lit(2))), 16, 10).cast("long"))
-    return F.when(s.isNull(), F.lit(None)).when(n > 0, units).otherwise(F.array().cast("array<bigint>"))
+    points = F.transform(F.split(s, ""), lambda c: F.ascii(c).cast("long"))
+    high = lambda p: F.lit(0xD800) + F.shiftright(p - 0x10000, 10)
+    low = lambda p: F.lit(0xDC00) + (p - 0x10000).bitwiseAND(F.lit(0x3FF))
+    # characters beyond the basic plane are two units; strings without any, nearly all, skip that step
+    units = F.when(F.exists(points, lambda p: p > 0xFFFF), F.flatten(F.transform(points, lambda p: F.when(p > 0xFFFF, F.array(high(p), low(p))).otherwise(F.array(p))))).otherwise(points)
+    return F.when(s != "", units).when(s == "", F.array().cast("array<bigint>"))
 
 
-def fnv1a(s: Column) -> Column:
-    """32-bit FNV-1a over UTF-16 code units, as a non-negative long."""
-    return F.aggregate(code_units(s), F.lit(BASIS).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(PRIME)).bitwiseAND(F.lit(_LOW32)))
+def _first_step(h: Column, c: Column) -> Column:
+    return (h.bitwiseXOR(c) * F.lit(PRIME)).bitwiseAND(F.lit(_LOW32))
 
 
-def _second(s: Column) -> Column:
+def _second_step(h: Column, c: Column) -> Column:
     # the multiplier does not fit next to 32 bits in a long, so the product is put together from two halves
-    def step(h: Column, c: Column) -> Column:
-        a = h.bitwiseXOR(c)
-        low = a.bitwiseAND(F.lit(65535)) * F.lit(SECOND_PRIME)
-        high = F.shiftleft((F.shiftright(a, 16) * F.lit(SECOND_PRIME)).bitwiseAND(F.lit(65535)), 16)
-        return (low + high).bitwiseAND(F.lit(_LOW32))
+    a = h.bitwiseXOR(c)
+    low = a.bitwiseAND(F.lit(65535)) * F.lit(SECOND_PRIME)
+    high = F.shiftleft((F.shiftright(a, 16) * F.lit(SECOND_PRIME)).bitwiseAND(F.lit(65535)), 16)
+    return (low + high).bitwiseAND(F.lit(_LOW32))
 
-    return F.aggregate(code_units(s), F.lit(PRIME).cast("long"), step)
+
+def fnv1a(s: Column) -> Column:
+    """32-bit FNV-1a over UTF-16 code units, as a non-negative long."""
+    return F.aggregate(code_units(s), F.lit(BASIS).cast("long"), _first_step)
 
 
 def hash52(s: Column) -> Column:
-    """52 bits from two FNV-like streams: the widest that stays exact in a double."""
-    return fnv1a(s) * F.lit(1 << 20) + F.shiftright(_second(s), 12)
+    """52 bits from two FNV-like streams over the same units: the widest that stays exact in a double."""
+    start = F.struct(F.lit(BASIS).cast("long").alias("a"), F.lit(PRIME).cast("long").alias("b"))
+    step = lambda h, c: F.struct(_first_step(h["a"], c).alias("a"), _second_step(h["b"], c).alias("b"))
+    return F.aggregate(code_units(s), start, step, lambda h: h["a"] * F.lit(1 << 20) + F.shiftright(h["b"], 12))
+
+
+def digest_bits(s: Column, start: int, digits: int) -> Column:
+    """A number from `digits` hexadecimal digits (13 at most) of the MD5 of a string, the first being digit 1: the same in any engine."""
+    return F.conv(F.substring(F.md5(s), start, digits), 16, 10).cast("long")
 
 
 def shard_count(capacity: Column, width: int = 124) -> Column:

@@ -131,10 +131,25 @@ def distinct_hash52(spark, d):
     return ids.agg(F.count_distinct(H.hash52(F.col("id"))).alias("hashes"), F.count("id").alias("ids"))
 
 
-@query("distinct_hll", "SELECT o_orderpriority, true AS within FROM orders GROUP BY 1")
+_HLL = f"""registers AS (SELECT o_orderpriority, {T.digest_bits('o_custkey', 1, 3)} % 1024 AS register, max(CASE WHEN {T.digest_bits('o_custkey', 4, 10)} = 0 THEN 41 ELSE 41 - length(bin({T.digest_bits('o_custkey', 4, 10)})) END) AS rank FROM orders GROUP BY 1, 2),
+sums AS (SELECT o_orderpriority, 1024 - count(*) AS empty, sum(pow(2.0, -rank)) AS s FROM registers GROUP BY 1),
+raw AS (SELECT *, {0.7213 / (1 + 1.079 / 1024) * 1024 * 1024!r}::DOUBLE / (s + empty) AS raw FROM sums),
+guess AS (SELECT o_orderpriority, CASE WHEN raw <= 2560 AND empty > 0 THEN 1024.0::DOUBLE * ln(1024.0::DOUBLE / empty) ELSE raw END AS estimate FROM raw)"""
+
+
+@query("distinct_hll", f"WITH {_HLL}, truth AS (SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1) SELECT o_orderpriority, customers, round(estimate, 3) AS estimate, round(100 * (estimate - customers) / customers, 3) AS error_percent FROM guess JOIN truth USING (o_orderpriority)")
 def distinct_hll(spark, d):
-    rows = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.hll_sketch_estimate(F.hll_sketch_agg("o_custkey", F.lit(14))).alias("guess"), F.count_distinct("o_custkey").alias("truth"))
-    return rows.select("o_orderpriority", (F.abs(F.col("guess") - F.col("truth")) <= 0.03 * F.col("truth") + 2).alias("within"))
+    rows = table(spark, d, "orders").select("o_orderpriority", "o_custkey")
+    guess = N.hll_estimate(N.hll_registers(rows, ["o_orderpriority"], "o_custkey"), ["o_orderpriority"])
+    both = guess.join(rows.groupBy("o_orderpriority").agg(F.count_distinct("o_custkey").alias("customers")), "o_orderpriority")
+    return both.select("o_orderpriority", "customers", F.round("estimate", 3).alias("estimate"), F.round((F.col("estimate") - F.col("customers")) * 100 / F.col("customers"), 3).alias("error_percent"))
+
+
+@query("distinct_hll_builtin", "SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, true AS within FROM orders GROUP BY 1")
+def distinct_hll_builtin(spark, d):
+    """The engine's own sketch, within three per cent."""
+    rows = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.hll_sketch_estimate(F.hll_sketch_agg("o_custkey", F.lit(14))).alias("guess"), F.count_distinct("o_custkey").alias("customers"))
+    return rows.select("o_orderpriority", "customers", (F.abs(F.col("guess") - F.col("customers")) <= 0.03 * F.col("customers") + 2).alias("within"))
 
 
 @query("seen_buckets", f"SELECT h % 8 AS bucket, count(DISTINCT h) AS members, CAST(sum(DISTINCT h) % 1000000007 AS BIGINT) AS digest FROM (SELECT {T.hash52('id')} AS h FROM (SELECT DISTINCT 'u' || user_id AS id FROM events)) GROUP BY 1")
@@ -156,11 +171,20 @@ def _bloom(spark, d, p=0.01):
     return docs, members, N.bloom_probe(docs, "doc_id", N.bloom(members, "doc_id", m, k), m, k)
 
 
-@query("bloom_fp_rate", "SELECT true AS no_misses, true AS rate_holds")
+def _bloom_sql(members: str) -> str:
+    """told: the filter by its definition, bit by bit."""
+    at = f"({T.digest_bits('doc_id', 1, 10)} + i * {T.digest_bits('doc_id', 11, 10)}) % m"
+    return f"""ids AS (SELECT DISTINCT doc_id FROM documents), size AS (SELECT CAST(greatest(64, ceil(-count(*) * ln(0.01) / (ln(2) * ln(2)))) AS BIGINT) AS m, greatest(1, CAST(round_even(greatest(64, ceil(-count(*) * ln(0.01) / (ln(2) * ln(2)))) / greatest(count(*), 1) * ln(2), 0) AS BIGINT)) AS k FROM ids WHERE {members}),
+bits AS (SELECT doc_id, {at} AS bit FROM (SELECT doc_id, m, unnest(range(0, k)) AS i FROM ids, size)),
+held AS (SELECT bit, count(DISTINCT doc_id) AS n FROM bits WHERE {members} GROUP BY bit)"""
+
+
+@query("bloom_fp_rate", f"""WITH {_bloom_sql('doc_id % 2 = 0')}, told AS (SELECT doc_id, bool_and(n IS NOT NULL) AS maybe FROM bits LEFT JOIN held USING (bit) GROUP BY doc_id)
+SELECT sum(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS members, sum(CASE WHEN doc_id % 2 = 0 AND NOT maybe THEN 1 ELSE 0 END)::BIGINT AS misses, sum(CASE WHEN doc_id % 2 = 1 THEN 1 ELSE 0 END)::BIGINT AS absent, sum(CASE WHEN doc_id % 2 = 1 AND maybe THEN 1 ELSE 0 END)::BIGINT AS false_positives FROM told""")
 def bloom_fp_rate(spark, d):
     _, _, told = _bloom(spark, d)
     odd = F.col("doc_id") % 2 == 1
-    return told.agg(F.min(F.col("maybe") | odd).alias("no_misses"), (F.count_if(odd & F.col("maybe")) <= 0.03 * F.count_if(odd) + 1).alias("rate_holds"))
+    return told.agg(F.count_if(~odd).alias("members"), F.count_if(~odd & ~F.col("maybe")).alias("misses"), F.count_if(odd).alias("absent"), F.count_if(odd & F.col("maybe")).alias("false_positives"))
 
 
 @query("bloom_prefilter", "SELECT doc_id FROM documents WHERE doc_id % 2 = 0 GROUP BY 1")
@@ -169,13 +193,30 @@ def bloom_prefilter(spark, d):
     return told.where("maybe").select("doc_id").join(members, "doc_id", "left_semi")
 
 
-@query("counting_filter", "SELECT true AS deletable")
+@query("counting_filter", f"""WITH {_bloom_sql('true')}, after AS (SELECT DISTINCT bit FROM bits WHERE doc_id % 3 <> 0), told AS (SELECT doc_id, bool_and(a.bit IS NOT NULL) AS maybe FROM bits LEFT JOIN after a USING (bit) GROUP BY doc_id)
+SELECT doc_id % 3 = 0 AS deleted, count(*) AS n, sum(CASE WHEN maybe THEN 1 ELSE 0 END)::BIGINT AS held FROM told GROUP BY 1""")
 def counting_filter(spark, d):
+    """Every third member deleted, then all asked: those left are held, those deleted are not, but for false positives."""
     docs = table(spark, d, "documents").select("doc_id").distinct()
     m, k = N.bloom_size(docs.count(), 0.01)
-    all_, gone, rest = (N.cuckoo_like(docs.where(w), "doc_id", m, k) for w in ("true", "doc_id % 3 = 0", "doc_id % 3 <> 0"))
-    left = all_.unionByName(gone.withColumn("n", -F.col("n"))).unionByName(rest.withColumn("n", -F.col("n"))).groupBy("bit").agg(F.sum("n").alias("n"))
-    return left.agg((F.max(F.abs("n")) == 0).alias("deletable"))
+    left = N.counting_without(N.counting_filter(docs, "doc_id", m, k), docs.where("doc_id % 3 = 0"), "doc_id", m, k)
+    told = N.counting_probe(docs, "doc_id", left, m, k)
+    return told.groupBy((F.col("doc_id") % 3 == 0).alias("deleted")).agg(F.count("*").alias("n"), F.count_if(F.col("maybe")).alias("held"))
+
+
+_CUCKOO = f"""marks AS (SELECT o_orderkey, {T.digest_bits('o_orderkey', 1, 4)} AS mark, {T.digest_bits('o_orderkey', 5, 10)} % 64 AS a FROM orders),
+slots AS (SELECT o_orderkey, mark, least(a, b) AS low, greatest(a, b) AS high FROM (SELECT *, (64 + {T.digest_bits('mark', 1, 10)} % 64 - a) % 64 AS b FROM marks)),
+held AS (SELECT DISTINCT low, high, mark FROM slots WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0)"""
+
+
+@query("cuckoo_membership", f"WITH {_CUCKOO} SELECT o_orderkey % 2 AS odd, o_orderkey % 3 = 0 AS third, count(*) AS n, count(h.mark) AS held FROM slots s LEFT JOIN held h USING (low, high, mark) GROUP BY 1, 2")
+def cuckoo_membership(spark, d):
+    """Even keys are members, those divisible by three are deleted again; few buckets, so that false positives show."""
+    keys = table(spark, d, "orders").select("o_orderkey")
+    even = keys.where("o_orderkey % 2 = 0")
+    left = N.cuckoo_without(N.cuckoo_table(even, "o_orderkey", 64), even.where("o_orderkey % 3 = 0"), "o_orderkey", 64)
+    told = N.cuckoo_has(keys, "o_orderkey", left, 64)
+    return told.groupBy((F.col("o_orderkey") % 2).alias("odd"), (F.col("o_orderkey") % 3 == 0).alias("third")).agg(F.count("*").alias("n"), F.count_if(F.col("maybe")).alias("held"))
 
 
 @query("bitmap_tag_counts", "SELECT l_returnflag || l_linestatus AS tag, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1")
@@ -244,9 +285,14 @@ def chunk_seal(spark, d):
     return B.chunks(table(spark, d, "conversations"), ["conv_id"], ["turn"], 4).groupBy("conv_id", "chunk", "sealed").agg(F.count("*").alias("turns"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
 
 
-@query("index_consistency", "SELECT 0 AS mismatches, count(*) AS records FROM orders")
+@query("index_consistency", """SELECT problem, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 101 = 0 THEN 'not indexed' WHEN o_orderkey % 97 = 0 AND o_orderstatus <> 'P' THEN 'stale' ELSE 'right' END AS problem FROM orders
+  UNION ALL SELECT 'no record' FROM orders WHERE o_orderkey % 89 = 0) GROUP BY 1""")
 def index_consistency(spark, d):
+    """Records against an index that lags behind: some entries still under their old status, some missing, some of records that are gone."""
     state = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
-    index = state.select(F.col("status").alias("indexed"), (F.col("o_orderkey") % 128).alias("bucket"), "o_orderkey").distinct()
+    old = F.when(F.col("o_orderkey") % 97 == 0, "P").otherwise(F.col("status"))
+    index = state.where("o_orderkey % 101 <> 0").select("o_orderkey", old.alias("indexed"))
+    index = index.unionByName(state.where("o_orderkey % 89 = 0").select((-1 - F.col("o_orderkey")).alias("o_orderkey"), F.col("status").alias("indexed")))
     joined = state.join(index, "o_orderkey", "full_outer")
-    return joined.agg(F.count_if(~F.col("status").eqNullSafe(F.col("indexed"))).alias("mismatches"), F.count("*").alias("records"))
+    problem = F.when(F.col("indexed").isNull(), "not indexed").when(F.col("status").isNull(), "no record").when(F.col("status") != F.col("indexed"), "stale").otherwise("right")
+    return joined.groupBy(problem.alias("problem")).agg(F.count("*").alias("n"))

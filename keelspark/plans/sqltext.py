@@ -32,6 +32,10 @@ def hash52(s: str) -> str:
     return f"({fnv1a(s)} * 1048576 + ({second(s)} >> 12))"
 
 
+def digest_bits(s: str, start: int, digits: int) -> str:
+    return f"CAST('0x' || substr(md5(CAST({s} AS VARCHAR)), {start}, {digits}) AS BIGINT)"
+
+
 def varint(v: str) -> str:
     u = f"(CAST({v} AS BIGINT) & 4294967295)"
     return f"(CASE WHEN {u} < 128 THEN 1 WHEN {u} < 16384 THEN 2 WHEN {u} < 2097152 THEN 3 WHEN {u} < 268435456 THEN 4 ELSE 5 END)"

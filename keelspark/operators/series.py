@@ -52,6 +52,41 @@ def nearest_rank(df: DataFrame, by: list[str], value: str, qs: tuple[float, ...]
     return run.where((at < F.col("upto")) & (at >= F.col("upto") - F.col("c"))).select(*by, "q", F.col("y").alias(name))
 
 
+#: binary digits that a sketch keeps of a value; its relative error is at most 2**-DIGITS
+DIGITS, UNIT = 7, 1_000_000
+
+
+def sketch_slot(value: Column, digits: int = DIGITS, unit: int = UNIT) -> Column:
+    """The slot of a non-negative value: its first binary digits and how many follow, taken from whole units so that every engine agrees."""
+    n = F.floor(value * unit + 0.5).cast("long")
+    more = F.greatest(F.lit(0), F.length(F.bin(n)) - digits - 1)
+    return (more.cast("long") * (2 << digits) + F.call_function("shiftright", n, more.cast("int")))
+
+
+def slot_value(slot: Column, digits: int = DIGITS, unit: int = UNIT) -> Column:
+    """The middle of a slot."""
+    more, head = F.floor(slot / (2 << digits)), F.pmod(slot, F.lit(2 << digits))
+    return (head + F.when(more > 0, 0.5).otherwise(0.0)) * F.pow(F.lit(2.0), more.cast("double")) / unit
+
+
+def sketch(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, slot, n: a mergeable quantile sketch as rows; sketches of parts merge by adding n.  A group has some hundred slots whatever its size."""
+    return df.where(F.col(value).isNotNull()).groupBy(*by, sketch_slot(F.col(value)).alias("slot")).agg(F.count("*").alias("n"))
+
+
+def merged(sketches: DataFrame, by: list[str]) -> DataFrame:
+    return sketches.groupBy(*by, "slot").agg(F.sum("n").alias("n"))
+
+
+def sketch_quantiles(sketches: DataFrame, by: list[str], qs: tuple[float, ...]) -> DataFrame:
+    """by, q, guess: the middle of the slot that holds the value of rank floor(q n)."""
+    held = sketches.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("slot", "n"))).alias("s"), F.sum("n").alias("total"))
+    asked = held.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
+    at = F.least(F.col("total") - 1, F.floor(F.col("q") * F.col("total")))
+    found = F.aggregate("s", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("long").alias("slot")), lambda a, x: F.struct((a["upto"] + x["n"]).alias("upto"), F.when(a["slot"].isNull() & (a["upto"] + x["n"] > F.col("at")), x["slot"]).otherwise(a["slot"]).alias("slot")), lambda a: a["slot"])
+    return asked.withColumn("at", at).withColumn("slot", found).select(*by, "q", slot_value(F.col("slot")).alias("guess"))
+
+
 def last_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The last n rows per group; Spark prunes to n per task before the shuffle."""
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rn") <= n).drop("rn")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import sizes as S
 from ..operators import profile as P
 from ..sources.keyspace import by_type, keyspace, sample_keyspace
-from ..sources.tables import table
+from ..sources.shared import fresh_path
+from ..sources.tables import json_sink, json_source, table
 from . import sqltext as T
 from .registry import query
 
@@ -148,10 +149,9 @@ def doctor_verdict(spark, d):
     return P.verdict(keys, P.findings(spark, keys, pending=_pending(spark, d), limits={"pending": 500}))
 
 
-@query("doctor_report", f"WITH {_SHAPE.replace('{pending}', '500')} SELECT count(*) AS findings, sum(CASE WHEN severity = 'critical' THEN 1 ELSE 0 END)::BIGINT AS critical, true AS is_json FROM found")
+@query("doctor_report", f"WITH {_SHAPE.replace('{pending}', '500')} SELECT row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 WHEN 'opportunity' THEN 2 ELSE 3 END, saving DESC, rule, subject) AS position, severity, rule, subject, CAST(floor(saving + 0.5) AS BIGINT) AS saving FROM found")
 def doctor_report(spark, d):
-    """All findings as one JSON value, read back; a report of a few lines, so one row is its nature."""
-    found = P.rank(P.findings(spark, keyspace(spark, d), pending=_pending(spark, d), limits={"pending": 500}))
-    report = found.agg(F.to_json(F.sort_array(F.collect_list(F.struct("position", "severity", "rule", "subject", "saving")))).alias("report"))
-    back = report.select(F.from_json("report", "array<struct<position: int, severity: string>>").alias("r"))
-    return back.select(F.size("r").cast("long").alias("findings"), F.size(F.filter("r", lambda x: x["severity"] == "critical")).cast("long").alias("critical"), F.col("r").isNotNull().alias("is_json"))
+    """The findings as lines of JSON, written and read back: a report may be long, so no value holds all of it."""
+    path = fresh_path(spark, "report")
+    json_sink(doctor_findings(spark, d).repartition(1), path)
+    return json_source(spark, path, "position bigint, severity string, rule string, subject string, saving bigint", lines=True)

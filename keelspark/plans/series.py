@@ -61,9 +61,12 @@ def latency_quantiles(spark, d):
     return S.nearest_rank(_events(spark, d), ["event_type"], "value", _QS)
 
 
-@query("latency_stats", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY 1")
+@query("latency_stats", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, " + ", ".join(f"list_sort(list(value))[CAST(least(count(*) - 1, floor({q} * count(*))) AS BIGINT) + 1] AS p{p}" for p, q in ((50, 0.5), (95, 0.95), (99, 0.99))) + ", max(value) AS most FROM events GROUP BY 1")
 def latency_stats(spark, d):
-    return _events(spark, d).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+    events = _events(spark, d)
+    plain = events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+    ranks = S.nearest_rank(events, ["event_type"], "value", (0.5, 0.95, 0.99)).groupBy("event_type").agg(*[F.max(F.when(F.col("q") == q, F.col("v"))).alias(f"p{p}") for p, q in ((50, 0.5), (95, 0.95), (99, 0.99))])
+    return plain.join(ranks, "event_type").select("event_type", "n", "mean", "least", "p50", "p95", "p99", "most")
 
 
 @query("latency_excl_timeouts", f"SELECT q.event_type, q.q, q.v, t.timeouts FROM ({_exact('value < 200')}) q JOIN (SELECT event_type, sum(CASE WHEN value >= 200 THEN 1 ELSE 0 END) AS timeouts FROM events GROUP BY 1) t USING (event_type)")
@@ -73,34 +76,54 @@ def latency_excl_timeouts(spark, d):
     return S.nearest_rank(events.where("value < 200"), ["event_type"], "value", _QS).join(late, "event_type").select("event_type", "q", "v", "timeouts")
 
 
-@query("quantile_sketch_error", "SELECT event_type, q, true AS close FROM (SELECT DISTINCT event_type FROM events), (SELECT unnest([0.5, 0.95, 0.99, 0.999]::DOUBLE[]) AS q)")
+_SLOT = "(SELECT event_type, user_id % 8 AS part, value, more * 256 + (n >> more) AS slot FROM (SELECT *, CAST(greatest(0, length(bin(n)) - 8) AS BIGINT) AS more FROM (SELECT *, CAST(floor(value * 1000000 + 0.5) AS BIGINT) AS n FROM events)))"
+_GUESS = f"""slots AS (SELECT event_type, slot, count(*) AS n FROM {_SLOT} GROUP BY 1, 2),
+ranked AS (SELECT event_type, slot, n, sum(n) OVER (PARTITION BY event_type ORDER BY slot) AS upto, sum(n) OVER (PARTITION BY event_type) AS total FROM slots),
+guess AS (SELECT event_type, q, ((slot % 256) + CASE WHEN slot >= 256 THEN 0.5::DOUBLE ELSE 0 END) * pow(2.0, floor(slot / 256)) / 1000000 AS guess
+  FROM ranked, (SELECT unnest([0.5, 0.95, 0.99, 0.999]::DOUBLE[]) AS q) WHERE least(total - 1, floor(q * total)) < upto AND least(total - 1, floor(q * total)) >= upto - n)"""
+
+
+@query("quantile_sketch_error", f"WITH {_GUESS} SELECT event_type, q, v, round(guess, 6) AS guess, round(abs(guess - v) / v, 6) AS error FROM guess JOIN ({_exact()}) USING (event_type, q)")
 def quantile_sketch_error(spark, d):
+    """The sketch's quantiles against the exact ones, and their relative errors."""
     events = _events(spark, d)
-    guess = events.groupBy("event_type").agg(F.percentile_approx("value", list(_QS), 10000).alias("g")).select("event_type", F.explode(F.arrays_zip(F.array(*map(F.lit, _QS)).alias("q"), F.col("g").alias("g"))).alias("z")).select("event_type", F.col("z.q").alias("q"), F.col("z.g").alias("g"))
+    guess = S.sketch_quantiles(S.sketch(events, ["event_type"], "value"), ["event_type"], _QS)
     both = S.nearest_rank(events, ["event_type"], "value", _QS).join(guess, ["event_type", "q"])
-    return both.select("event_type", "q", (F.abs(F.col("g") - F.col("v")) <= 0.05 * F.col("v")).alias("close"))
+    return both.select("event_type", "q", "v", F.round("guess", 6).alias("guess"), F.round(F.abs(F.col("guess") - F.col("v")) / F.col("v"), 6).alias("error"))
 
 
 def _sketches(spark, d):
-    return _events(spark, d).groupBy("event_type", (F.col("user_id") % 8).alias("part")).agg(F.expr("kll_sketch_agg_double(value, 800)").alias("sketch"), F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
-
+    """One sketch for each eighth of the users."""
+    return S.sketch(_events(spark, d).withColumn("part", F.col("user_id") % 8), ["event_type", "part"], "value")
 
-def _merged(parts):
-    return parts.groupBy("event_type").agg(F.expr("kll_merge_agg_double(sketch)").alias("sketch"), F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
 
-
-@query("quantile_sketch_merge", "SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most, true AS counted FROM events GROUP BY 1")
+@query("quantile_sketch_merge", f"WITH {_GUESS} SELECT event_type, q, round(guess, 6) AS guess, n, least, most FROM guess JOIN (SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most FROM events GROUP BY 1) USING (event_type)")
 def quantile_sketch_merge(spark, d):
-    return _merged(_sketches(spark, d)).select("event_type", "n", "least", "most", (F.expr("kll_sketch_get_n_double(sketch)") == F.col("n")).alias("counted"))
+    """Eight sketches merged say what one over all rows says.  Merging is a sum, so a part that is merged twice counts twice."""
+    told = S.sketch_quantiles(S.merged(_sketches(spark, d), ["event_type"]), ["event_type"], _QS)
+    whole = _events(spark, d).groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return told.join(whole, "event_type").select("event_type", "q", F.round("guess", 6).alias("guess"), "n", "least", "most")
 
 
-@query("sketch_archive_merge", "SELECT event_type, true AS close FROM events GROUP BY 1")
+@query("sketch_archive_merge", f"WITH {_GUESS} SELECT event_type, round(guess, 6) AS median, CAST(total AS BIGINT) AS n FROM guess JOIN (SELECT event_type, max(upto) AS total FROM ranked GROUP BY 1) USING (event_type) WHERE q = 0.5")
 def sketch_archive_merge(spark, d):
-    """Sketches as bytes of a table, merged after reading them back; the median's rank stays within two per cent."""
-    kept = _sketches(spark, d).withColumn("sketch", F.unhex(F.hex("sketch")))
-    told = _merged(kept).select("event_type", F.expr("kll_sketch_get_quantile_double(sketch, 0.5D)").alias("g"), "n")
-    rank = _events(spark, d).join(told, "event_type").groupBy("event_type").agg((F.count_if(F.col("value") <= F.col("g")) / F.count("*")).alias("r"))
-    return rank.select("event_type", (F.abs(F.col("r") - 0.5) <= 0.02).alias("close"))
+    """Sketches as bytes of a table, one value each; read back, merged and asked."""
+    kept = _sketches(spark, d).groupBy("event_type", "part").agg(F.to_json(F.array_sort(F.collect_list(F.struct("slot", "n")))).cast("binary").alias("sketch"))
+    back = kept.select("event_type", F.inline(F.from_json(F.col("sketch").cast("string"), "array<struct<slot: bigint, n: bigint>>")))
+    whole = S.merged(back, ["event_type"])
+    told = S.sketch_quantiles(whole, ["event_type"], (0.5,)).join(whole.groupBy("event_type").agg(F.sum("n").alias("n")), "event_type")
+    return told.select("event_type", F.round("guess", 6).alias("median"), "n")
+
+
+@query("sketch_builtin_merge", "SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most, true AS close FROM events GROUP BY 1")
+def sketch_builtin_merge(spark, d):
+    """The engine's own rank-error sketch, archived as hexadecimal text and merged; the median's rank stays within two per cent."""
+    events = _events(spark, d)
+    parts = events.groupBy("event_type", (F.col("user_id") % 8).alias("part")).agg(F.hex(F.expr("kll_sketch_agg_double(value, 800)")).alias("sketch"), F.min("value").alias("least"), F.max("value").alias("most"))
+    told = parts.withColumn("sketch", F.unhex("sketch")).groupBy("event_type").agg(F.expr("kll_merge_agg_double(sketch)").alias("sketch"), F.min("least").alias("least"), F.max("most").alias("most"))
+    asked = told.select("event_type", "least", "most", F.expr("kll_sketch_get_quantile_double(sketch, 0.5D)").alias("g"), F.expr("kll_sketch_get_n_double(sketch)").alias("n"))
+    rank = events.join(F.broadcast(asked.select("event_type", "g")), "event_type").groupBy("event_type").agg((F.count_if(F.col("value") <= F.col("g")) / F.count("*")).alias("r"))
+    return asked.join(rank, "event_type").select("event_type", "n", "least", "most", (F.abs(F.col("r") - 0.5) <= 0.02).alias("close"))
 
 
 @query("retain_last_n", "SELECT user_id, sum(CASE WHEN rn <= 20 THEN 1 ELSE 0 END) AS kept, sum(CASE WHEN rn > 20 THEN 1 ELSE 0 END) AS dropped, min(CASE WHEN rn <= 20 THEN event_id END) AS oldest FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) GROUP BY user_id")

@@ -1,4 +1,5 @@
-"""Synthetic agent data.  Every value is a hash of its row number, a field name and a seed: parallel, repeatable, no order of draws."""
+"""Synthetic agent data.  Every value is a hash of its row number, a field name and a seed: parallel, repeatable, no order of draws, and the same in any
+engine that has MD5."""
 
 from __future__ import annotations
 
@@ -7,6 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import digest_bits
+
 # fixed values of the example workload
 STATUSES = ("queued", "running", "awaiting_tool", "succeeded", "failed", "cancelled")
 REGIONS = ("iad1", "sfo1", "fra1", "hnd1", "syd1")
@@ -17,8 +20,8 @@ EPOCH = 1_760_000_000
 
 
 def uniform(field: str, seed: int, *by: Column) -> Column:
-    """In [0, 1)."""
-    return F.shiftrightunsigned(F.xxhash64(*(by or (F.col("id"),)), F.lit(field), F.lit(seed)), 11) / float(1 << 53)
+    """In [0, 1), from 13 hexadecimal digits of a hash."""
+    return digest_bits(F.concat_ws("/", *(b.cast("string") for b in by or (F.col("id"),)), F.lit(field), F.lit(str(seed))), 1, 13) / float(1 << 52)
 
 
 def between(field: str, seed: int, low: int, high: int) -> Column:
@@ -92,4 +95,4 @@ def latencies(spark: SparkSession, n: int, series: int = 200, timeouts: float =
 
 def contention(spark: SparkSession, n: int, runs_: int, seed: int = 7) -> DataFrame:
     """id, run: attempts skewed towards the first runs."""
-    return spark.range(n).select("id", F.floor(F.pow(uniform("run", seed), F.lit(2.0)) * runs_).alias("run"))
+    return spark.range(n).select("id", F.floor(uniform("run", seed) * uniform("run", seed) * runs_).alias("run"))

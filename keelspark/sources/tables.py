@@ -10,8 +10,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def json_source(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    reader = spark.read.option("multiLine", "true")
+def json_source(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """lines: one value to a line, which can be read in parts; else a value to a file."""
+    reader = spark.read.option("multiLine", str(not lines).lower())
     return (reader.schema(schema) if schema else reader).json(path)
 
 

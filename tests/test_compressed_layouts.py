@@ -34,7 +34,7 @@ def test_runs(spark, sf):
     packed = [bytes(r.p) for r in sorted(_runs(spark, sf).select("o_orderkey", RUN.encode(F.struct(*[f.name for f in RUN.fields])).alias("p")).collect(), key=lambda r: r.o_orderkey)]
     dj, dp = (b"".join(x[:64])[-32768:] for x in (texts, packed))
     want = {"json": sum(map(len, texts)), "msgpack": sum(msgpack(json.loads(t)) for t in texts), "json-zstd": sum(map(zstd, texts)), "json-dictionary": sum(deflated(dj, t) for t in texts), "packed": sum(map(len, packed)), "packed-dictionary": sum(deflated(dp, p) for p in packed)}
-    got = {r.variant: (r.records, r.bytes, r.ratio) for r in __spark_entry__.queries()["layout_compressed_runs_bytes"](spark, sf).collect()}
+    got = {r.variant: (r.records, r.bytes, r.ratio) for r in __spark_entry__.queries()["layout_compressed_runs"](spark, sf).collect()}
     n = len(orders)
     assert got.keys() == want.keys()
     for name, size in want.items():
@@ -50,5 +50,5 @@ def test_turns(spark, tmp_path):
     chunks = [b"\n".join(texts[k] for k in sorted(texts) if k[0] == c and a <= k[1] < a + 16) for c in range(5) for a in (0, 16)]
     one = list(texts.values())
     want = {"text": sum(map(len, one)), "turn-zstd": sum(map(zstd, one)), "turn-dictionary": sum(deflated(words, t) for t in one), "chunk-zstd": sum(map(zstd, chunks)), "chunk-dictionary": sum(deflated(words, t) for t in chunks)}
-    got = {r.variant: r.bytes for r in __spark_entry__.queries()["layout_compressed_turns_bytes"](spark, str(tmp_path)).collect()}
+    got = {r.variant: r.bytes for r in __spark_entry__.queries()["layout_compressed_turns"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - v / len(one)) < 1e-9 for k, v in want.items())

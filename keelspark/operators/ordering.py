@@ -5,36 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTS = 64
+from ..sources.shared import saved
 
+#: rows of a range, about; small tables get the session's number of shuffle partitions
+RANGE_ROWS = 2_000_000
 
-def _part(df: DataFrame, column: str) -> Column:
-    """The number of the range that a value of a numeric column falls into.  The ranges are PARTS quantiles, taken once, so the number is a
-    plain function of the value and every evaluation agrees; nulls are part -1."""
-    cuts = df.agg(F.percentile_approx(column, [i / PARTS for i in range(1, PARTS)], 10000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    return F.when(F.col(column).isNull(), F.lit(-1)).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(column))) if cuts else F.lit(0))
 
+def _ranged(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """df dealt into ranges of all sort keys and sorted, with _part (the range) and _place (0, 1, ... within it), in the shared folder, so that
+    both stay what they are however often they are read.  Ties are part of the keys: one value repeated very often is spread like any others."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
+    told = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    return saved(told, "ranges").withColumn("_part", F.shiftright("_at", 33)).withColumn("_place", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
 
-def _offsets(parts: DataFrame, measure: Column, ascending: bool) -> DataFrame:
-    """part, offset: the measure's sum over all parts before; one row per part."""
-    order = F.col("part") if ascending else F.col("part").desc()
-    sums = parts.groupBy("part").agg(measure.alias("measure"))
-    return sums.withColumn("offset", F.coalesce(F.sum("measure").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "offset")
+
+def _offsets(parts: DataFrame, measure: Column) -> DataFrame:
+    """_part, _offset: the measure's sum over all ranges before; one row per range."""
+    sums = parts.groupBy("_part").agg(measure.alias("_measure"))
+    before = F.sum("_measure").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    return sums.withColumn("_offset", F.coalesce(before, F.lit(0))).select("_part", "_offset")
+
+
+def _keys(column: str, ascending: bool, tie: list[str] | None) -> list[Column]:
+    return [F.col(c).asc() if ascending else F.col(c).desc() for c in [column, *(tie or [])]]
+
+
+def numbered(df: DataFrame, keys: list[Column], name: str = "rank") -> DataFrame:
+    """df with 1, 2, ... in the order of keys.  Ranges are counted, one number each, and every range is numbered from the count before it."""
+    parts = _ranged(df, keys)
+    return parts.join(F.broadcast(_offsets(parts, F.count("*"))), "_part").withColumn(name, F.col("_offset") + F.col("_place") + 1).drop("_part", "_place", "_offset")
 
 
 def global_rank(df: DataFrame, column: str, ascending: bool = True, tie: list[str] | None = None) -> DataFrame:
-    """df with rank: 1, 2, ... in the order of a numeric column and tie.  Parts are counted, one number each, and every part is numbered
-    from the count before it."""
-    keys = [F.col(c).asc() if ascending else F.col(c).desc() for c in [column, *(tie or [])]]
-    parts = df.withColumn("part", _part(df, column))
-    inside = parts.withColumn("inside", F.row_number().over(Window.partitionBy("part").orderBy(*keys)))
-    return inside.join(F.broadcast(_offsets(parts, F.count("*"), ascending)), "part").withColumn("rank", F.col("offset") + F.col("inside")).drop("part", "inside", "offset")
+    """df with rank: 1, 2, ... in the order of a column and tie."""
+    return numbered(df, _keys(column, ascending, tie))
 
 
 def global_running_sum(df: DataFrame, value: str, column: str, tie: list[str], name: str = "running", ascending: bool = True) -> DataFrame:
-    """df with the running sum of value in the order of a numeric column and tie, the row included, by the same two steps."""
-    keys = [F.col(column).asc() if ascending else F.col(column).desc(), *map(F.col, tie)]
-    parts = df.withColumn("part", _part(df, column))
-    inside = parts.withColumn("inside", F.sum(value).over(Window.partitionBy("part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)))
-    return inside.join(F.broadcast(_offsets(parts, F.sum(value), ascending)), "part").withColumn(name, F.col("offset") + F.col("inside")).drop("part", "inside", "offset")
+    """df with the running sum of value in the order of a column and tie, the row included, by the same two steps."""
+    parts = _ranged(df, _keys(column, ascending, tie))
+    inside = parts.withColumn("_inside", F.sum(value).over(Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)))
+    return inside.join(F.broadcast(_offsets(parts, F.sum(value))), "_part").withColumn(name, F.col("_offset") + F.col("_inside")).drop("_part", "_place", "_offset", "_inside")

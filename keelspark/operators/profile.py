@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sizes import js_round, key_pattern, looks_json, sds_header, size_class, string_waste
+from ..sources.shared import saved
+from .layouts import HASHTABLE, LISTPACK
+from .ordering import numbered
 
 RANK = {"critical": 0, "warning": 1, "opportunity": 2, "info": 3}
 #: thresholds of the rules (fixed values), each a parameter
@@ -19,16 +22,19 @@ CONFIG = {"maxmemory-policy": "allkeys-lru", "maxmemory": "0", "appendonly": "no
 def namespaces(keys: DataFrame, dbsize: int | Column | None = None) -> DataFrame:
     """The profile: one row per pattern.  Without dbsize the sample is the whole keyspace.  One shuffle, on the pattern; the encoding
     histogram is a second partial aggregation over (pattern, encoding), a few rows each."""
-    rows = keys.withColumn("pattern", key_pattern(F.col("key")))
+    ints = F.col("int_members") if "int_members" in keys.columns else F.lit(False)
+    rows = keys.withColumn("pattern", key_pattern(F.col("key"))).withColumn("_ints", ints)
+    json = _json_columns()
     text = F.when(F.col("type") == "string", F.col("size")).otherwise(0)
     part = rows.groupBy("pattern", "encoding").agg(
         F.count("*").alias("n"), F.sum("memory").alias("memory"), F.sum(text).alias("bytes"), F.sum("size").alias("size"), F.count_if(F.col("ttl") > 0).alias("with_ttl"),
         F.min(F.struct("key", "type")).alias("first"), F.sum(F.length("key")).alias("key_len"), F.sum(F.when(F.col("type") == "string", string_waste(F.col("size")))).alias("waste"),
         F.min("size").alias("least"), F.max("size").alias("most"), F.count_if(looks_json(F.col("value"))).alias("jsonish"),
+        F.count_if(F.col("_ints")).alias("int_sets"), *[c.alias(n) for n, c in json.items()],
     )
     whole = part.groupBy("pattern").agg(
         F.sum("n").alias("n"), F.sum("memory").alias("memory"), F.sum("bytes").alias("bytes"), F.sum("size").alias("size"), F.sum("with_ttl").alias("with_ttl"), F.min("first").alias("first"), F.sum("key_len").alias("key_len"), F.sum("waste").alias("waste"),
-        F.min("least").alias("least"), F.max("most").alias("most"), F.sum("jsonish").alias("jsonish"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("encoding", "n")))).alias("encodings"),
+        F.min("least").alias("least"), F.max("most").alias("most"), F.sum("jsonish").alias("jsonish"), F.sum("int_sets").alias("int_sets"), *[(F.max(n) if n == "array_len" else F.sum(n)).alias(n) for n in json], F.map_from_entries(F.array_sort(F.collect_list(F.struct("encoding", "n")))).alias("encodings"),
     )
     # the total is one row; it joins instead of a window over all patterns, which would be one task's work
     scanned = F.col("scanned")
@@ -37,24 +43,32 @@ def namespaces(keys: DataFrame, dbsize: int | Column | None = None) -> DataFrame
     est = js_round(n / scanned * size).cast("long")
     return whole.crossJoin(F.broadcast(part.agg(F.sum("n").alias("scanned")))).select(
         "pattern", F.col("first.type").alias("type"), "n", est.alias("est_keys"), (F.col("memory") / n).alias("avg_memory"), F.when(F.col("first.type") == "string", F.col("bytes") / n).otherwise(0.0).alias("avg_bytes"), "encodings", (F.col("with_ttl") / n).alias("ttl_coverage"),
-        (F.col("memory") / n * est).alias("est_bytes"), (F.col("size") / n).alias("avg_size"), (F.col("key_len") / n).alias("avg_key_len"), (F.col("waste") / n).alias("avg_waste"), "least", "most", "jsonish",
+        (F.col("memory") / n * est).alias("est_bytes"), (F.col("size") / n).alias("avg_size"), (F.col("key_len") / n).alias("avg_key_len"), (F.col("waste") / n).alias("avg_waste"), "least", "most", "jsonish", "int_sets", *json,
     )
 
 
+def _json_columns() -> dict[str, Column]:
+    """parsed, total_bytes, name_bytes, arrays, array_len over the JSON among some values, as aggregates; a value is parsed only if it looks like JSON."""
+    value = F.when(looks_json(F.col("value")), F.col("value"))
+    items = F.from_json(value, "array<double>")
+    named = F.coalesce(F.aggregate(F.json_object_keys(value), F.lit(0), lambda s, k: s + F.length(k) + 3), F.lit(0))
+    numeric = F.coalesce((F.size(items) >= LIMITS["dims"]) & F.forall(items, lambda x: x.isNotNull()), F.lit(False))
+    return {"parsed": F.count(value), "total_bytes": F.sum(F.octet_length(value)), "name_bytes": F.sum(F.when(value.isNotNull(), named)), "arrays": F.count_if(numeric), "array_len": F.max(F.when(numeric, F.size(items)))}
+
+
 def json_shape(keys: DataFrame) -> DataFrame:
     """pattern, parsed, total_bytes, name_bytes, arrays, array_len over the JSON values of each pattern."""
-    rows = keys.where(looks_json(F.col("value"))).select(key_pattern(F.col("key")).alias("pattern"), "value", F.octet_length("value").alias("bytes"), F.json_object_keys("value").alias("names"), F.from_json("value", "array<double>").alias("items"))
-    named = F.coalesce(F.aggregate("names", F.lit(0), lambda s, k: s + F.length(k) + 3), F.lit(0))
-    numeric = F.coalesce((F.size("items") >= LIMITS["dims"]) & F.forall("items", lambda x: x.isNotNull()), F.lit(False))
-    return rows.groupBy("pattern").agg(F.count("*").alias("parsed"), F.sum("bytes").alias("total_bytes"), F.sum(named).alias("name_bytes"), F.count_if(numeric).alias("arrays"), F.max(F.when(numeric, F.size("items"))).alias("array_len"))
+    rows = keys.where(looks_json(F.col("value"))).select(key_pattern(F.col("key")).alias("pattern"), "value")
+    return rows.groupBy("pattern").agg(*[c.alias(n) for n, c in _json_columns().items()])
 
 
-def findings(spark: SparkSession, keys: DataFrame, config: dict[str, str] = CONFIG, pending: DataFrame | None = None, limits: dict | None = None) -> DataFrame:
-    """severity, rule, subject, saving.  pending: key, pending per consumer group."""
+def findings(spark: SparkSession, keys: DataFrame, config: dict[str, str] = CONFIG, pending: DataFrame | None = None, limits: dict | None = None, complete: bool = True) -> DataFrame:
+    """severity, rule, subject, saving.  pending: key, pending per consumer group; complete: whether they come from all streams.  The keys are read
+    once: what the rules need is one row for each pattern, in the shared folder."""
     lim = LIMITS | (limits or {})
-    ns = namespaces(keys)
+    ns = saved(namespaces(keys), "profile")
     floor = ns.agg(F.greatest(F.lit(float(lim["floor"])), F.sum("est_bytes") * lim["share"]).alias("floor"))
-    ns = ns.join(json_shape(keys), "pattern", "left").crossJoin(F.broadcast(floor))
+    ns = ns.crossJoin(F.broadcast(floor))
     rules: list[DataFrame] = []
     cells: list[Column] = []
 
@@ -90,12 +104,14 @@ def findings(spark: SparkSession, keys: DataFrame, config: dict[str, str] = CONF
     raw = text & (est >= lim["some"]) & wide.isin([4 * d for d in DIMS]) & (F.abs(F.col("least") - wide) < 4) & (F.abs(F.col("most") - wide) < 4)
     over("raw-vectors", "opportunity", raw, (wide - (wide / 4 + 4)) * est, material=False)
     over("hashtable-hashes", "opportunity", (F.col("type") == "hash") & (est >= lim["few"]) & F.map_contains_key("encodings", "hashtable") & (F.col("avg_size") <= lim["fields"]), F.lit(0.0), material=False)
+    over("integer-sets", "opportunity", (F.col("type") == "set") & (est >= lim["few"]) & ~F.map_contains_key("encodings", "intset") & (F.col("int_sets") == F.col("n")), F.lit(0.0), material=False)
     per = F.col("avg_memory") / F.col("avg_size")
     over("sorted-set-series", "opportunity", (F.col("type") == "zset") & (F.col("avg_size") >= lim["members"]) & (per >= lim["per_member"]), (per - lim["series"]) * F.col("avg_size") * est)
     told_of = ns.select(F.explode(F.array(*cells)).alias("f")).where("f is not null").select("f.*")
     rules.append(told_of)
     if pending is not None:
         rules.append(pending.where(F.col("pending") > lim["pending"]).orderBy("key").limit(25).select(F.lit("warning").alias("severity"), F.lit("pending-backlog").alias("rule"), F.col("key").alias("subject"), (F.col("pending") * lim["pending_bytes"]).cast("double").alias("saving")))
+    told("partial-scan", "info", not complete)
     major, minor = (int(x) for x in config["version"].split("."))
     if (major, minor) >= (8, 10) and config["hash-min-template-entries"] == "0":
         some = ns.where((F.col("type") == "hash") & ~sharded & (est > lim["many"])).limit(1)
@@ -107,13 +123,13 @@ def findings(spark: SparkSession, keys: DataFrame, config: dict[str, str] = CONF
 def rank(found: DataFrame) -> DataFrame:
     """position: by severity, then saving, then name."""
     order = F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv])[F.col("severity")]
-    return found.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order, F.desc("saving"), "rule", "subject")))
+    return numbered(found, [order.asc(), F.desc("saving"), F.asc("rule"), F.asc("subject")], "position")
 
 
 def fix_plan(keys: DataFrame, config: dict[str, str] = CONFIG, spark: SparkSession | None = None) -> DataFrame:
     """tier, action, subject: what may be set, what is rewritten without loss, what is left to the owner of the data."""
     spark = spark or keys.sparkSession
-    ns = namespaces(keys)
+    ns = saved(namespaces(keys), "profile")
     made: list[DataFrame] = []
     literal = lambda *rows: made.append(spark.createDataFrame(list(rows), "tier string, action string, subject string"))
     if config["maxmemory-policy"].startswith("allkeys"):
@@ -134,6 +150,31 @@ def fix_plan(keys: DataFrame, config: dict[str, str] = CONFIG, spark: SparkSessi
     return reduce(DataFrame.unionByName, made)
 
 
+def reencoded(keys: DataFrame, patterns: DataFrame, entries: int) -> DataFrame:
+    """keys after a rewrite: hashes of the patterns (one column, pattern) with at most `entries` fields take the compact encoding, all else stays."""
+    marked = keys.withColumn("_pattern", key_pattern(F.col("key"))).join(patterns.select(F.col("pattern").alias("_pattern"), F.lit(True).alias("_wanted")), "_pattern", "left")
+    goes = (F.col("type") == "hash") & (F.col("encoding") == "hashtable") & (F.col("size") <= entries) & F.coalesce("_wanted", F.lit(False))
+    less = F.when(goes, F.col("size") * (HASHTABLE - 2 * LISTPACK)).otherwise(0)
+    return marked.withColumn("memory", F.col("memory") - less).withColumn("encoding", F.when(goes, "listpack").otherwise(F.col("encoding"))).select(*keys.columns)
+
+
+def apply_plan(keys: DataFrame, plan: DataFrame, config: dict[str, str] = CONFIG) -> tuple[DataFrame, dict[str, str]]:
+    """The keys and the settings after a plan's config and rewrite tiers; what is refused stays with the owner.  The settings are few rows."""
+    after = dict(config)
+    for r in plan.where("tier = 'config'").select("action").collect():
+        name, value = r["action"].split(": ", 1)
+        after[name] = value.rsplit(" -> ", 1)[1]
+    patterns = plan.where("tier = 'rewrite'").select(F.col("subject").alias("pattern")).distinct()
+    return reencoded(keys, patterns, int(after["hash-max-listpack-entries"])), after
+
+
+def freed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """before, after, freed bytes, and the keys whose encoding changed."""
+    a = before.agg(F.sum("memory").cast("long").alias("before"), F.count_if(F.col("encoding") == "hashtable").alias("a"))
+    b = after.agg(F.sum("memory").cast("long").alias("after"), F.count_if(F.col("encoding") == "hashtable").alias("b"))
+    return a.crossJoin(F.broadcast(b)).select("before", "after", (F.col("before") - F.col("after")).alias("freed"), (F.col("a") - F.col("b")).alias("rewritten"))
+
+
 def verdict(keys: DataFrame, found: DataFrame) -> DataFrame:
     """used_bytes, saving_bytes, too_small, exit_code."""
     used = keys.agg(F.sum("memory").cast("long").alias("used_bytes"))

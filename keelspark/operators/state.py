@@ -60,6 +60,48 @@ def single_flight(requests: DataFrame, key: str, at: str, tie: str, compute_us:
     return cols.repartition("key").sortWithinPartitions("key", "at", "tie").mapInArrow(run, "key string, at long, tie long, kind string")
 
 
+def backoff_until(waited: int, first: int = 5_000, factor: float = 1.6, most: int = 100_000) -> int:
+    """When a waiter that polls with growing pauses, all in microseconds, first looks at or after `waited`."""
+    at, pause = 0, first
+    while at < waited:
+        if pause >= most:
+            return at + -(-(waited - at) // most) * most
+        at, pause = at + pause, min(most, round(pause * factor))
+    return at
+
+
+def leased_flight(requests: DataFrame, key: str, at: str, tie: str, dies: str, compute_us: int, lease_us: int, ttl_us: int) -> DataFrame:
+    """requests with kind, started and wait_us.  A miss takes the lease of a key and computes; a holder that dies publishes nothing, and its lease ends after
+    lease_us.  Kinds: computed; waited (for a holder who publishes); takeover (the first to wait for a dead holder, who starts when the lease ends);
+    exact (a hit).  started: when the computation that serves the request began; wait_us: until the waiter's poll finds the value or the free lease."""
+    cols = requests.select(F.col(key).cast("string").alias("key"), F.col(at).cast("long").alias("at"), F.col(tie).cast("long").alias("tie"), F.coalesce(F.col(dies), F.lit(False)).alias("dies"))
+    types = pa.schema([("key", pa.string()), ("at", pa.int64()), ("tie", pa.int64()), ("kind", pa.string()), ("started", pa.int64()), ("wait_us", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, start, dead = object(), None, False
+        for batch in batches:
+            kinds, starts, waits = [], [], []
+            for k, t, d in zip(batch.column("key").to_pylist(), batch.column("at").to_pylist(), batch.column("dies").to_pylist()):
+                if k != now:
+                    now, start = k, None
+                kind, wait = "computed", 0
+                if start is not None and dead and t < start + lease_us:
+                    kind, start, dead = "takeover", start + lease_us, d
+                    wait = backoff_until(start - t)
+                elif start is not None and not dead and t < start + compute_us:
+                    kind, wait = "waited", backoff_until(start + compute_us - t)
+                elif start is not None and not dead and t < start + compute_us + ttl_us:
+                    kind = "exact"
+                else:
+                    start, dead = t, d
+                kinds.append(kind)
+                starts.append(start)
+                waits.append(wait)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "at", "tie")), pa.array(kinds, type=pa.string()), pa.array(starts, type=pa.int64()), pa.array(waits, type=pa.int64())], schema=types)
+
+    return cols.repartition("key").sortWithinPartitions("key", "at", "tie").mapInArrow(run, "key string, at long, tie long, kind string, started long, wait_us long")
+
+
 def fold_states(requests: DataFrame, key: str, target: str, order: list[str]) -> DataFrame:
     """key, status, version, applied, rejected: legal requests move the state and add one to the version, others are rejected."""
     cols = requests.select(F.col(key).cast("long").alias("key"), F.col(target).cast("int").alias("target"), *order)

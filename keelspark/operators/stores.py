@@ -14,18 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.hashing import fnv1a
-from ..sources.shared import fresh_path
+from ..sources.shared import saved
 from . import buckets, seen, state
 from . import vectors as search
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """df written into the shared folder and read back."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @dataclass(frozen=True)
 class Pouch:
     """id -> value in hashed shards.  rows: id string, value, seq long."""

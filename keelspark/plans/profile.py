@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sizes as S
 from ..operators import profile as P
-from ..sources.keyspace import by_type, keyspace, sample_keyspace
+from ..sources.keyspace import by_type, keyspace, sample_keyspace, workspace
 from ..sources.shared import fresh_path
 from ..sources.tables import json_sink, json_source, table
 from . import sqltext as T
@@ -23,9 +23,15 @@ def keyspace_sample(spark, d):
     return sample_keyspace(keyspace(spark, d), 2000).select("key", "type")
 
 
-@query("keyspace_by_type", f"WITH {T.KEYS} SELECT key, size FROM keys WHERE type = 'stream'")
+@query("keyspace_by_type", f"WITH {T.KEYS} SELECT key, size, true AS complete FROM keys WHERE type = 'stream'")
 def keyspace_by_type(spark, d):
-    return by_type(keyspace(spark, d), "stream").select("key", "size")
+    return by_type(keyspace(spark, d), "stream").select("key", "size", "complete")
+
+
+@query("keyspace_by_type_bounded", f"WITH {T.KEYS} SELECT key, size, (SELECT count(*) FROM keys) <= 500 AS complete FROM (SELECT * FROM keys ORDER BY key LIMIT 500) WHERE type = 'hash'")
+def keyspace_by_type_bounded(spark, d):
+    """A scan that stops after 500 keys, as its feature is, and says whether it saw all."""
+    return by_type(keyspace(spark, d), "hash", 500).select("key", "size", "complete")
 
 
 _KEYS = ("'a:' || o_orderkey", "'run:{' || (o_orderkey % 16) || '}:' || o_custkey", "'x:' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 12)", "'sess:' || md5(CAST(o_orderkey AS VARCHAR)) || ':v'", "'u:00000000-0000-4000-8000-' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0')", "'t:' || o_orderpriority || ':-' || o_custkey")
@@ -155,3 +161,44 @@ def doctor_report(spark, d):
     path = fresh_path(spark, "report")
     json_sink(doctor_findings(spark, d).repartition(1), path)
     return json_source(spark, path, "position bigint, severity string, rule string, subject string, saving bigint", lines=True)
+
+
+#: settings under which the other rules hold: nothing persisted, unbounded clients, an old version; and a log that is not synced during rewrites
+BARE = P.CONFIG | {"maxmemory-policy": "noeviction", "maxmemory": "1000000", "save": "", "version": "7.2"}
+LOGGED = P.CONFIG | {"maxmemory-policy": "noeviction", "maxmemory": "1000000", "appendonly": "yes", "no-appendfsync-on-rewrite": "yes"}
+_LOW = {"floor": 1000, "members": 50, "many": 50}
+_WORK = f"""work AS (
+  SELECT 'prof:' || c_custkey AS key, 'hash' AS type, 'hashtable' AS encoding, 20 AS size, {T.size_class(f"(20 + {T.sds('20')} + 1)")} + 24 + 16 + {T.size_class("(length('prof:' || c_custkey) + 4)")} + 8 + 20 * 64 AS memory FROM customer
+  UNION ALL SELECT 'lat:' || event_type, 'zset', 'skiplist', count(*), count(*) * 88 + 96 FROM events GROUP BY event_type
+  UNION ALL SELECT 'tags:' || (o_custkey % 500), 'set', 'hashtable', count(*), count(*) * 54 + 96 FROM orders GROUP BY o_custkey % 500),
+wide AS (SELECT {T.pattern("key")} AS pattern, min(type) AS type, count(*) AS n, avg(memory) AS avg_memory, avg(size) AS avg_size, avg(length(key)) AS avg_key_len, avg(memory) * count(*) AS est_bytes FROM work GROUP BY 1),
+lim AS (SELECT greatest(1000.0, sum(est_bytes) * 0.01) AS floor FROM wide),
+found AS (
+  SELECT 'opportunity' AS severity, 'key-overhead' AS rule, pattern AS subject, s AS saving FROM (SELECT pattern, (48 + {T.size_class("(avg_key_len + 4)")}) * n * (1 - 1 / 124.0) AS s FROM wide WHERE n >= 50), lim WHERE s >= floor
+  UNION ALL SELECT 'opportunity', 'hashtable-hashes', pattern, 0 FROM wide WHERE type = 'hash' AND n >= 100 AND avg_size <= 512
+  UNION ALL SELECT 'opportunity', 'integer-sets', pattern, 0 FROM wide WHERE type = 'set' AND n >= 100
+  UNION ALL SELECT 'opportunity', 'sorted-set-series', pattern, s FROM (SELECT pattern, (avg_memory / avg_size - 2.6) * avg_size * n AS s FROM wide WHERE type = 'zset' AND avg_size >= 50 AND avg_memory / avg_size >= 20), lim WHERE s >= floor)"""
+_ROUNDED = "SELECT severity, rule, subject, CAST(floor(saving + 0.5) AS BIGINT) AS saving FROM found"
+
+
+def _rules(spark, d, config, **more):
+    found = P.findings(spark, workspace(spark, d), config, limits=_LOW, **more)
+    return found.select("severity", "rule", "subject", S.js_round(F.col("saving")).cast("long").alias("saving"))
+
+
+@query("doctor_findings_bare", f"WITH {_WORK} {_ROUNDED} UNION ALL SELECT * FROM (VALUES ('critical', 'no-persistence', 'config', 0), ('warning', 'client-buffers', 'config', 0), ('info', 'partial-scan', 'config', 0), ('info', 'old-version', 'config', 0))")
+def doctor_findings_bare(spark, d):
+    return _rules(spark, d, BARE, complete=False)
+
+
+@query("doctor_findings_logged", f"WITH {_WORK} {_ROUNDED} UNION ALL SELECT * FROM (VALUES ('warning', 'client-buffers', 'config', 0), ('warning', 'no-fsync-on-rewrite', 'config', 0)) UNION ALL SELECT 'opportunity', 'templates-available', 'config', 0 FROM (SELECT 1 FROM wide WHERE type = 'hash' AND n > 50 LIMIT 1)")
+def doctor_findings_logged(spark, d):
+    return _rules(spark, d, LOGGED)
+
+
+@query("doctor_apply", f"WITH {_WORK} SELECT CAST(sum(memory) AS BIGINT) AS before, CAST(sum(memory) - 56 * 20 * sum(CASE WHEN type = 'hash' THEN 1 ELSE 0 END) AS BIGINT) AS after, CAST(56 * 20 * sum(CASE WHEN type = 'hash' THEN 1 ELSE 0 END) AS BIGINT) AS freed, sum(CASE WHEN type = 'hash' THEN 1 ELSE 0 END)::BIGINT AS rewritten, 'no 5%' AS settings FROM work")
+def doctor_apply(spark, d):
+    """The plan for the second keyspace, applied: bytes before and after, keys rewritten, two of the settings it changed."""
+    keys = workspace(spark, d)
+    after, settings = P.apply_plan(keys, P.fix_plan(keys, LOGGED), LOGGED)
+    return P.freed(keys, after).withColumn("settings", F.lit(f"{settings['no-appendfsync-on-rewrite']} {settings['maxmemory-clients']}"))

@@ -36,5 +36,21 @@ def sample_keyspace(keys: DataFrame, limit: int) -> DataFrame:
     return keys.orderBy("key").limit(limit)
 
 
-def by_type(keys: DataFrame, kind: str) -> DataFrame:
-    return keys.where(F.col("type") == kind)
+def by_type(keys: DataFrame, kind: str, most: int | None = None) -> DataFrame:
+    """The keys of a type among the first `most` keys in order (all without it), with complete: whether the scan saw every key."""
+    if most is None:
+        return keys.where(F.col("type") == kind).withColumn("complete", F.lit(True))
+    whole = keys.agg((F.count("*") <= most).alias("complete"))
+    return sample_keyspace(keys, most).where(F.col("type") == kind).crossJoin(F.broadcast(whole))
+
+
+def workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second keyspace, of structures that are stored worse than they could be: wide hashes, samples in sorted sets, sets of integers.
+    int_members tells whether a set's members are all integers."""
+    none = F.lit(None)
+    hashes = table(spark, sf_dir, "customer").select(F.concat(F.lit("prof:"), "c_custkey").alias("key"), F.lit("hash").alias("type"), F.lit("hashtable").alias("encoding"), F.lit(20).cast("long").alias("size"), F.lit(False).alias("int_members"))
+    hashes = hashes.withColumn("memory", (modelled_memory(F.col("key"), F.col("size")) + F.col("size") * 64).cast("long"))
+    series = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("size")).select(F.concat(F.lit("lat:"), "event_type").alias("key"), F.lit("zset").alias("type"), F.lit("skiplist").alias("encoding"), "size", F.lit(False).alias("int_members"), (F.col("size") * 88 + 96).alias("memory"))
+    sets = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 500).alias("k")).agg(F.count("*").alias("size")).select(F.concat(F.lit("tags:"), "k").alias("key"), F.lit("set").alias("type"), F.lit("hashtable").alias("encoding"), "size", F.lit(True).alias("int_members"), (F.col("size") * 54 + 96).alias("memory"))
+    every = hashes.unionByName(series).unionByName(sets)
+    return every.withColumn("value", none.cast("string")).withColumn("ttl", none.cast("long")).select(*COLUMNS, "int_members")

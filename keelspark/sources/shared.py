@@ -7,13 +7,15 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """spark.checkpoint.dir; a temporary folder only where that is unset and driver and executors are one process, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         made = tempfile.mkdtemp(prefix="keelspark-")
         atexit.register(shutil.rmtree, made, True)
         root = f"file://{made}"
@@ -23,3 +25,10 @@ def shared_root(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/keelspark/{label}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, label: str) -> DataFrame:
+    """df written into the shared folder and read back."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -162,6 +162,29 @@ def test_global_order(spark):
         assert run[i] == total
 
 
+def test_one_value_is_many_ranges(spark):
+    """A column of one value is spread by its ties, and the ranks still run through."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        df = spark.range(5000).select(F.lit(60).cast("long").alias("ttl"), F.sha1(F.col("id").cast("string")).alias("key"), F.lit(2).alias("memory"))
+        parts = ordering._ranged(df, ordering._keys("ttl", True, ["key"])).groupBy("_part").count().collect()
+        assert len(parts) > 4 and max(r["count"] for r in parts) < 2500
+        got = ordering.global_running_sum(df, "memory", "ttl", ["key"]).collect()
+        assert [r.running for r in sorted(got, key=lambda r: r.key)] == [2 * (i + 1) for i in range(5000)]
+    finally:
+        spark.conf.unset(key)
+
+
+def test_backoff():
+    at, pause, seen = 0, 5_000, [0]
+    for _ in range(40):
+        at, pause = at + pause, min(100_000, round(pause * 1.6))
+        seen.append(at)
+    for t in (-5, 0, 1, 5_000, 5_001, 300_000, 1_234_567):
+        assert state.backoff_until(t) == next(x for x in seen if x >= t)
+
+
 def test_nearest_rank(spark):
     rng = random.Random(5)
     rows = [(rng.choice("ab"), float(rng.randint(0, 20))) for _ in range(300)]

@@ -112,6 +112,14 @@ def msgpack_bytes(spark, d):
     return rows.groupBy("turn").agg(F.count("*").alias("n"), F.sum(F.octet_length("b")).cast("long").alias("bytes"))
 
 
+@query("msgpack_roundtrip", "SELECT conv_id, turn, role, CASE WHEN strlen(text) > 0 THEN md5(text) END AS text FROM conversations WHERE text IS NOT NULL")
+def msgpack_roundtrip(spark, d):
+    """JSON to MessagePack and back."""
+    rows = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", C.json_msgpack(C.msgpack_json(F.to_json(F.struct("role", "turn", "text")))).alias("j"))
+    back = rows.select("conv_id", F.from_json("j", "role string, turn bigint, text string").alias("b"))
+    return back.select("conv_id", "b.turn", "b.role", F.when(F.octet_length("b.text") > 0, F.md5("b.text")).alias("text"))
+
+
 @query("dict_compress", "SELECT conv_id, turn, md5(text) AS back, strlen(text) AS bytes, text IS NOT NULL AS smaller FROM conversations WHERE text IS NOT NULL AND strlen(text) >= 64")
 def dict_compress(spark, d):
     """Round trip with a dictionary of the first turns; smaller than the text wherever that is long enough."""

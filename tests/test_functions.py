@@ -119,6 +119,59 @@ def test_msgpack_sizes():
     assert codecs._msgpack({"a": 1, "b": [True, None, -1, 300, "x" * 40, 1.5]}) == b"\x82\xa1a\x01\xa1b\x96\xc3\xc0\xff\xcd\x01\x2c\xd9\x28" + b"x" * 40 + b"\xcb" + bytes.fromhex("3ff8000000000000")
 
 
+def test_msgpack_back():
+    rng = random.Random(4)
+
+    def some(depth=0):
+        kind = rng.randrange(8 if depth < 3 else 6)
+        if kind < 2:
+            return rng.choice([0, 1, 127, 128, 255, 256, 65_535, 65_536, 2**32, 2**63, -1, -32, -33, -128, -129, -(2**31), -(2**63)])
+        if kind == 2:
+            return rng.choice(["", "é" * 20, "x" * 31, "x" * 32, "y" * 300, "z" * 70_000])
+        if kind == 3:
+            return rng.choice([None, True, False])
+        if kind == 4:
+            return rng.random()
+        if kind == 5:
+            return bytes(rng.randrange(256) for _ in range(rng.choice([0, 5, 300])))
+        if kind == 6:
+            return [some(depth + 1) for _ in range(rng.choice([0, 3, 20]))]
+        return {f"k{i}": some(depth + 1) for i in range(rng.choice([0, 2, 17]))}
+
+    for _ in range(200):
+        v = some()
+        raw = codecs._msgpack(v)
+        assert codecs.msgpack_value(raw) == (v, len(raw))
+
+
+def test_packing_in_expressions(spark):
+    """Built-in expressions and batch reading do what the one-record writer and reader do."""
+    import pytest
+
+    fields = [codecs.Field("u", "uuid"), codecs.Field("e", "enum", ("a", "b", "c")), codecs.Field("v", "varint"), codecs.Field("s", "svarint"), codecs.Field("b", "u8"), codecs.Field("f", "flags", ("x", "y")), codecs.Field("t", "str"), codecs.Field("r", "blob")]
+    schema = codecs.Schema(tuple(fields), 3)
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        rows.append((i, str(uuid.UUID(int=rng.getrandbits(128))), rng.choice("abc"), rng.choice([0, 127, 128, 16_383, 16_384, 2**21 - 1, 2**21, 2**28, 2**32 - 1]), rng.choice([0, -1, 1, 63, -64, 64, 2**31 - 1, -(2**31)]), rng.randrange(256), {"x": rng.random() < 0.5, "y": None if rng.random() < 0.2 else True}, "é" * rng.choice([0, 3, 200]), bytes(rng.randrange(256) for _ in range(rng.choice([0, 4, 130])))))
+    df = spark.createDataFrame(rows, "i int, u string, e string, v long, s long, b int, f map<string, boolean>, t string, r binary")
+    names = [f.name for f in fields]
+    packed = df.select("i", schema.encode(F.struct(*names)).alias("p"))
+    raw = {r.i: bytes(r.p) for r in packed.collect()}
+    assert raw == {r[0]: schema.encode_one(dict(zip(names, r[1:]))) for r in rows}
+    told = {r.i: r.d.asDict() for r in packed.select("i", schema.decode(F.col("p")).alias("d")).collect()}
+    for r in rows:
+        one = schema.decode_one(raw[r[0]])
+        assert {k: bytes(v) if k == "r" else v for k, v in told[r[0]].items()} == one
+    old = spark.createDataFrame([(raw[0][:18],), (b"\x01",), (None,)], "p binary").select(schema.decode(F.col("p")).alias("d")).collect()
+    assert [r.d["e"] for r in old] == [rows[0][2], None, None] and all(r.d["v"] is None for r in old)
+    for bad in (df.limit(1).withColumn("e", F.lit("z")), df.limit(1).withColumn("t", F.lit(None).cast("string"))):
+        with pytest.raises(Exception, match="no (enum|str)"):
+            bad.select(schema.encode(F.struct(*names))).collect()
+    with pytest.raises(Exception, match="inside a field"):
+        spark.createDataFrame([(raw[0][:12],)], "p binary").select(schema.decode(F.col("p"))).collect()
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.vstack([rng.normal(size=(30, 64)), np.zeros((1, 64))]).astype(np.float32))]

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import HOT_ROWS
+from ..operators.ordering import lookup as hot_lookup
 from ..sources.shared import fresh_path
 from ..sources.tables import table  # noqa: F401  the operators' queries read by it
 
@@ -60,17 +62,9 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_string() if pa.types.is_large_string(column.type) else pa.string()).cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-#: rows of one key beyond which its row is broadcast instead of shuffled to
-HOT_ROWS = 100_000
-
-
 def lookup(rows: DataFrame, keyed: DataFrame, key: str, hot: int = HOT_ROWS) -> DataFrame:
-    """rows joined to keyed, which has one row for each key and its number of rows as `times`.  Keys with more than `hot` rows, at most the table's
-    rows divided by `hot`, are broadcast, so that a key with a third of all rows is spread over all tasks."""
-    often = keyed.where(F.col("times") > hot).drop("times")
-    if not often.limit(1).count():
-        return rows.join(keyed.drop("times"), key)
-    return rows.join(F.broadcast(often), key).unionByName(rows.join(F.broadcast(often.select(key)), key, "left_anti").join(keyed.where(F.col("times") <= hot).drop("times"), key))
+    """rows joined to keyed, which has one row for each key and its number of rows as `times`; keys with very many rows are broadcast."""
+    return hot_lookup(rows, keyed, [key], "times", hot).drop("times")
 
 
 def text_of(docs: DataFrame) -> DataFrame:

@@ -49,6 +49,22 @@ def digest_bits(s: Column, start: int, digits: int) -> Column:
     return F.conv(F.substring(F.md5(s), start, digits), 16, 10).cast("long")
 
 
+def _be32(v: Column) -> Column:
+    return F.unhex(F.lpad(F.hex(v), 8, "0"))
+
+
+def cache_field(key: Column) -> Column:
+    """16 bytes for a cache entry: the hash, then as many whole characters of the key as 12 bytes hold, filled up with zeros."""
+    most = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(12)), lambda n: F.octet_length(F.substring(key, 1, 12).substr(F.lit(1), n)) <= 12))
+    head = F.encode(F.substring(key, 1, 12).substr(F.lit(1), most), "UTF-8")
+    return F.concat(_be32(fnv1a(key)), F.unhex(F.rpad(F.hex(head), 24, "0")))
+
+
+def agent_field(key: Column) -> Column:
+    """8 bytes for an agent cache's entry: the hashes of the key and of the salted key."""
+    return F.concat(_be32(fnv1a(key)), _be32(fnv1a(F.concat(key, F.lit("salt")))))
+
+
 def shard_count(capacity: Column, width: int = 124) -> Column:
     """The power of two that holds capacity records at about `width` per shard."""
     need = F.greatest(F.lit(1), F.ceil(capacity / F.lit(width)))

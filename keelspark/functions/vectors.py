@@ -50,6 +50,14 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def reduced(a: Column, dim: int) -> Column:
+    """The first `dim` coefficients of a Walsh-Hadamard transform, scaled so that all of them would keep the length."""
+    sign = lambda i, j: F.lit(1) - F.lit(2) * (F.bit_count(i.bitwiseAND(j)) % 2)
+    size = F.sqrt(F.size(a).cast("double"))
+    coefficient = lambda i: F.aggregate(F.transform(a, lambda x, j: x.cast("double") * sign(i, j)), F.lit(0.0), lambda s, x: s + x)
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (coefficient(i) / size).cast("float"))
+
+
 def storage_bytes(dim: Column, quant: Column) -> Column:
     return F.when(quant == "f32", dim * 4).when(quant == "f16", dim * 2).when(quant == "int8", dim + 4).when(quant == "binary", F.ceil(dim / 8)).cast("long")
 

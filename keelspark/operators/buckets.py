@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fnv1a
+from .ordering import numbered_in
 
 
 def routed(df: DataFrame, id_: Column, k: int, name: str = "bucket") -> DataFrame:
@@ -60,7 +61,17 @@ def parse_generation(marker: Column) -> tuple[Column, Column]:
 
 
 def chunks(df: DataFrame, by: list[str], order: list[str], size: int) -> DataFrame:
-    """chunk and sealed: runs of `size` rows per group in order; an incomplete last one is not sealed."""
-    w = Window.partitionBy(*by)
-    rows = df.withColumn("chunk", F.floor((F.row_number().over(w.orderBy(*order)) - 1) / size)).withColumn("n", F.count("*").over(w))
-    return rows.withColumn("sealed", (F.col("chunk") + 1) * size <= F.col("n")).drop("n")
+    """chunk and sealed: runs of `size` rows per group in order; an incomplete last one is not sealed.  A long group is no one task's work."""
+    rows = numbered_in(df, by, order).withColumn("chunk", F.floor((F.col("row") - 1) / size))
+    return rows.withColumn("sealed", (F.col("chunk") + 1) * size <= F.col("rows")).drop("row", "rows")
+
+
+def hash_tag(key: Column) -> Column:
+    """What decides a key's place: the text in its first braces if there is any, else the whole key.  Keys with one tag share a slot."""
+    tag = F.regexp_extract(key, r"^[^{]*\{([^}]+)\}", 1)
+    return F.when(tag != "", tag).otherwise(key)
+
+
+def slotted(df: DataFrame, key: Column, slots: int, name: str = "slot") -> DataFrame:
+    """df with the slot of its key's tag.  Tables written with `bucketBy(n, "slot")` join on it without a shuffle."""
+    return df.withColumn(name, F.pmod(fnv1a(hash_tag(key)), F.lit(slots)))

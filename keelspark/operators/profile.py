@@ -50,8 +50,8 @@ def namespaces(keys: DataFrame, dbsize: int | Column | None = None) -> DataFrame
 def _json_columns() -> dict[str, Column]:
     """parsed, total_bytes, name_bytes, arrays, array_len over the JSON among some values, as aggregates; a value is parsed only if it looks like JSON."""
     value = F.when(looks_json(F.col("value")), F.col("value"))
-    items = F.from_json(value, "array<double>")
-    named = F.coalesce(F.aggregate(F.json_object_keys(value), F.lit(0), lambda s, k: s + F.length(k) + 3), F.lit(0))
+    items = F.from_json(F.when(value.startswith("["), value), "array<double>")
+    named = F.coalesce(F.aggregate(F.json_object_keys(F.when(value.startswith("{"), value)), F.lit(0), lambda s, k: s + F.length(k) + 3), F.lit(0))
     numeric = F.coalesce((F.size(items) >= LIMITS["dims"]) & F.forall(items, lambda x: x.isNotNull()), F.lit(False))
     return {"parsed": F.count(value), "total_bytes": F.sum(F.octet_length(value)), "name_bytes": F.sum(F.when(value.isNotNull(), named)), "arrays": F.count_if(numeric), "array_len": F.max(F.when(numeric, F.size(items)))}
 

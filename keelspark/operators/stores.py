@@ -7,6 +7,7 @@ now and then, which ends their lineage.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -67,6 +68,17 @@ class Pouch:
         k = int(math.log2(self.shards))
         return replace(self, grown=self.grown + 1), buckets.moves(self.rows, F.col("id"), k)
 
+    def grow_to(self, shards: int, on_progress: Callable[[dict], None] | None = None) -> Pouch:
+        """As many splits as it takes; on_progress hears of each: from, to, moved, scanned."""
+        store = self
+        while store.shards < shards:
+            before = store.shards
+            store, moves = store.split()
+            if on_progress:
+                told = moves.agg(F.coalesce(F.sum("moved"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+                on_progress({"from": before, "to": store.shards, "moved": told[0], "scanned": told[1]})
+        return store
+
     def saved(self) -> Pouch:
         return replace(self, rows=saved(self.rows, "pouch"))
 
@@ -197,6 +209,15 @@ class AgentCache:
         told = rest.select("request").join(found.select("request", "value", "score"), "request", "left")
         return hits.unionByName(told.select("request", F.when(F.col("value").isNull(), "miss").otherwise("semantic").alias("kind"), "value", "score"))
 
+    def fetch(self, requests: DataFrame, now: int, seq: int, compute: Callable[[DataFrame], DataFrame]) -> tuple[AgentCache, DataFrame]:
+        """The cache with what was missing, and request, kind, value, score for every request.  compute: from keys (one row each, however many requests miss
+        them) to key, value; what it gives is written out, so that it runs once."""
+        told = self.get(requests, now)
+        missed = told.where("kind = 'miss'").select("request").join(requests.select("request", "key"), "request")
+        made = saved(compute(missed.select("key").distinct()).select("key", "value"), "computed")
+        found = missed.join(made, "key", "left").select("request", F.lit("miss").alias("kind"), "value", F.lit(None).cast("double").alias("score"))
+        return replace(self, values=self.values.set(made, now, seq)), told.where("kind <> 'miss'").unionByName(found)
+
     def orphans(self, now: int) -> DataFrame:
         """Vectors whose value is gone."""
         return self.vectors.join(self.values.live(now).select("key"), "key", "left_anti")

@@ -60,6 +60,34 @@ def rescored(corpus: DataFrame, queries: DataFrame, k: int, widen: int) -> DataF
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 
+#: lists of an inverted index, at most: their centres travel with every task
+MAX_LISTS = 4096
+
+
+def centres(corpus: DataFrame, lists: int) -> DataFrame:
+    """centres: one row with an array of (id, v, norm): the vectors that the least hashes of their ids pick, a bounded sample.  Every row is indexed."""
+    picked = corpus.orderBy(F.md5(F.col("id").cast("string")), "id").limit(min(lists, MAX_LISTS)).select("id", "v", "norm")
+    return picked.agg(F.collect_list(F.struct("id", "v", "norm")).alias("centres"))
+
+
+def near_lists(rows: DataFrame, index: DataFrame, probes: int) -> DataFrame:
+    """rows with lists: the ids of the nearest centres, ties to the least id.  The centres are one broadcast row; nothing is shuffled."""
+    scored_ = F.transform("centres", lambda c: F.struct((-V.cosine(F.col("v"), c["v"], F.col("norm"), c["norm"])).alias("far"), c["id"].alias("id")))
+    return rows.crossJoin(F.broadcast(index)).withColumn("lists", F.transform(F.slice(F.array_sort(scored_), 1, probes), lambda s: s["id"])).drop("centres")
+
+
+def approximate(corpus: DataFrame, queries: DataFrame, k: int, lists: int = 16, probes: int = 6) -> DataFrame:
+    """q_id, id, score, rank: the best k among the rows whose list is one of the query's nearest.  Every row is in exactly one list; the queries, in
+    blocks of at most MAX_QUERIES, are broadcast to them."""
+    index = centres(corpus, lists)
+    placed = near_lists(corpus, index, 1).withColumn("list", F.col("lists")[0]).drop("lists")
+    asked = near_lists(queries, index, probes).select([F.col(c).alias(f"q_{c}") for c in queries.columns] + [F.explode("lists").alias("list")])
+    n = -(-queries.count() // MAX_QUERIES) or 1
+    blocks = [F.broadcast(asked if n == 1 else asked.where(F.pmod(F.xxhash64("q_id"), F.lit(n)) == b)) for b in range(n)]
+    met = reduce(DataFrame.unionByName, [placed.join(b, "list") for b in blocks]).where("id <> q_id").withColumn("score", exact())
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+
+
 def recall(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """recall: hits over all wanted."""
     hits = found.select("q_id", "id").join(truth.select("q_id", "id"), ["q_id", "id"], "left_semi").agg(F.count("*").alias("hits"))

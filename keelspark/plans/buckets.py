@@ -63,6 +63,22 @@ def shard_width_sweep(spark, d):
 _SPLIT = f"SELECT h % 32 AS old_bucket, h % 64 AS new_bucket FROM (SELECT {T.fnv1a('id')} AS h FROM (SELECT {_ID} AS id FROM orders))"
 
 
+@query("cache_fields", f"SELECT o_orderkey, lower(printf('%08x', {T.fnv1a('id')}) || rpad(hex(substr(id, 1, 12)), 24, '0')) AS field, lower(printf('%08x', {T.fnv1a('id')}) || printf('%08x', {T.fnv1a("(id || 'salt')")})) AS agent_field FROM (SELECT o_orderkey, {_ID} AS id FROM orders)")
+def cache_fields(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.lower(F.hex(H.cache_field(_id()))).alias("field"), F.lower(F.hex(H.agent_field(_id()))).alias("agent_field"))
+
+
+_TAGGED = "CASE o_orderkey % 3 WHEN 0 THEN 'run:{' || (o_custkey % 50) || '}:' || o_orderkey WHEN 1 THEN 'x{}:{' || o_custkey || '}' ELSE 'plain:' || o_orderkey END"
+
+
+@query("tag_colocation", f"SELECT slot, count(*) AS n, count(DISTINCT tag) AS tags FROM (SELECT tag, {T.fnv1a('tag')} % 64 AS slot FROM (SELECT CASE WHEN regexp_extract(key, '^[^{{]*[{{]([^}}]+)[}}]', 1) <> '' THEN regexp_extract(key, '^[^{{]*[{{]([^}}]+)[}}]', 1) ELSE key END AS tag FROM (SELECT {_TAGGED} AS key FROM orders))) GROUP BY slot")
+def tag_colocation(spark, d):
+    """Keys by the slot of their tag: empty braces are none, so such a key is placed by its whole name."""
+    key = F.expr(_TAGGED)
+    rows = B.slotted(table(spark, d, "orders").select(key.alias("key")), F.col("key"), 64)
+    return rows.groupBy("slot").agg(F.count("*").alias("n"), F.count_distinct(B.hash_tag(F.col("key"))).alias("tags"))
+
+
 @query("reshard_moves", f"SELECT old_bucket, count(*) AS total, sum(CASE WHEN new_bucket = old_bucket THEN 1 ELSE 0 END) AS stayed, sum(CASE WHEN new_bucket <> old_bucket THEN 1 ELSE 0 END) AS moved, sum(CASE WHEN new_bucket NOT IN (old_bucket, old_bucket + 32) THEN 1 ELSE 0 END) AS strays FROM ({_SPLIT}) GROUP BY old_bucket")
 def reshard_moves(spark, d):
     return B.moves(table(spark, d, "orders"), _id(), 5)

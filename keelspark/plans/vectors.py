@@ -103,6 +103,34 @@ def vector_rerank(spark, d):
     return _shown(O.rescored(*_sets(spark, d), 10, 10))
 
 
+_LISTS = f"""centres AS (SELECT vec_id, embedding FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT 16),
+near AS (SELECT b.vec_id, a.vec_id AS list, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_COS} DESC, a.vec_id) AS place FROM centres a, embeddings b),
+met AS (SELECT p.vec_id AS id, q.vec_id AS q_id FROM near p JOIN near q ON q.list = p.list AND p.place = 1 AND q.place <= 6 AND q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id),
+found AS (SELECT q_id, id, score, rank FROM (SELECT q_id, id, {_COS} AS score, row_number() OVER (PARTITION BY q_id ORDER BY {_COS} DESC, id) AS rank FROM met JOIN embeddings a ON a.vec_id = id JOIN embeddings b ON b.vec_id = q_id) WHERE rank <= 10)"""
+
+
+@query("vector_ann", f"WITH {_LISTS} SELECT q_id, id, round(score, 6) AS score, rank FROM found")
+def vector_ann(spark, d):
+    """Search in the nearest lists of an inverted index."""
+    return _shown(O.approximate(*_sets(spark, d), 10))
+
+
+@query("recall_ann", f"WITH {_LISTS}, {_TRUTH} SELECT count(*) AS hits, count(*) / ((SELECT count(DISTINCT q_id) FROM truth) * 10.0) AS recall FROM found SEMI JOIN truth USING (q_id, id)")
+def recall_ann(spark, d):
+    corpus, queries = _sets(spark, d)
+    return O.recall(O.approximate(corpus, queries, 10), O.top_k(corpus, queries, O.exact, 10), 10)
+
+
+_REDUCED = "(SELECT vec_id, label, list_transform(range(0, 32), lambda i: CAST(list_sum(list_transform(list_zip(embedding, range(0, 64)), lambda z: CAST(z[1] AS DOUBLE) * (1 - 2 * (bit_count(z[2] & i) % 2)))) / 8 AS FLOAT)) AS embedding FROM embeddings)"
+
+
+@query("vector_reduce", f"SELECT vec_id, len(embedding) AS dim, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 4) AS kept FROM {_REDUCED}")
+def vector_reduce(spark, d):
+    """Half the dimensions, and the share of each vector's squared length that is left."""
+    rows = table(spark, d, "embeddings").select("vec_id", V.reduced(F.col("embedding"), 32).alias("v"))
+    return rows.select("vec_id", F.size("v").cast("long").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("kept"))
+
+
 @query("vector_storage_bytes", "SELECT quant, dim, n, CAST(n * CASE quant WHEN 'f32' THEN dim * 4 WHEN 'f16' THEN dim * 2 WHEN 'int8' THEN dim + 4 ELSE ceil(dim / 8.0) END AS BIGINT) AS bytes FROM (SELECT len(embedding) AS dim, count(*) AS n FROM embeddings GROUP BY 1), (SELECT unnest(['f32', 'f16', 'int8', 'binary']) AS quant)")
 def vector_storage_bytes(spark, d):
     dims = table(spark, d, "embeddings").groupBy(F.size("embedding").cast("long").alias("dim")).agg(F.count("*").alias("n"))

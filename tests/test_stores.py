@@ -32,6 +32,9 @@ def test_pouch(spark):
     homes = grown.rows.select(grown.key_for(F.col("id")).alias("new"), grown.prev_key_for(F.col("id")).alias("old"), p.key_for(F.col("id")).alias("before")).collect()
     assert all((r.old or r.new) == r.before for r in homes) and any(r.old for r in homes)
     assert p.delete(ids(spark, "r1", "r2")).count().first().n == 299
+    heard = []
+    assert p.grow_to(1024, heard.append).shards == 1024
+    assert [(h["from"], h["to"], h["scanned"]) for h in heard] == [(256, 512, 301), (512, 1024, 301)] and all(0 < h["moved"] < 301 for h in heard)
     assert Pouch(none, 10).count().first().n == 0
 
 
@@ -84,6 +87,52 @@ def test_agent_cache(spark):
     assert AgentCache.hit_rate(told).first().rate == 0.5 and AgentCache.hit_rate(told.limit(0)).first().rate == 0
 
 
+def test_fetch_computes_once(spark, tmp_path):
+    none = spark.createDataFrame([], "key string, value string, expires long, seq long")
+    c = AgentCache(ShardedCache(none), spark.createDataFrame([], "vec_id long, key string, embedding array<float>"))
+    asked = spark.createDataFrame([(i, f"k{i % 3}", [1.0, 0.0]) for i in range(9)], "request long, key string, embedding array<float>")
+    calls = []
+
+    def compute(keys):
+        calls.append(keys.count())
+        return keys.withColumn("value", F.concat(F.lit("made "), "key"))
+
+    c, told = c.fetch(asked, 10, 1, compute)
+    assert {r.request: (r.kind, r.value) for r in told.collect()} == {i: ("miss", f"made k{i % 3}") for i in range(9)}
+    c, told = c.fetch(asked, 11, 2, compute)
+    assert {(r.kind, r.value) for r in told.collect()} == {("exact", f"made k{i}") for i in range(3)} and calls == [3, 0]
+
+
+def test_long_groups_are_spread(spark):
+    from keelspark.operators import ordering
+
+    rows = [(1 if i < 900 else i % 7, i * 37 % 1000, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g int, t int, i int")
+    want, prev = {}, {}
+    for g, t, i in sorted(rows):
+        mine = prev.setdefault(g, [])
+        mine.append(t)
+        want[i] = (len(mine), [None] * max(0, 3 - len(mine)) + mine[-3:])
+    total = {g: len(v) for g, v in prev.items()}
+    for hot in (50, 10**6):
+        assert {r.i: (r.row, r.rows) for r in ordering.numbered_in(df, ["g"], ["t", "i"], hot).collect()} == {i: (want[i][0], total[g]) for g, _, i in rows}
+    for block in (7, 10**6):
+        got = ordering.with_rows_before(df, ["g"], ["t", "i"], ["t"], 2, block).collect()
+        assert {r.i: [None if b is None else b.t for b in r.before] for r in got} == {i: w for i, (_, w) in want.items()} and len(got) == 1000
+
+
+def test_cache_fields(spark):
+    keys = ["", "a", "k" * 20, "é" * 20, "abcdefghijk€", "\U0001f600" * 5]
+    got = spark.createDataFrame([(k,) for k in keys], "k string").select("k", hashing.cache_field(F.col("k")).alias("f"), hashing.agent_field(F.col("k")).alias("a"), hashing.fnv1a(F.col("k")).alias("h")).collect()
+    for r in got:
+        head = b""
+        for ch in r.k[:12]:
+            if len(head) + len(ch.encode()) > 12:
+                break
+            head += ch.encode()
+        assert bytes(r.f) == r.h.to_bytes(4, "big") + head.ljust(12, b"\0") and bytes(r.a)[:4] == bytes(r.f)[:4] and len(r.a) == 8
+
+
 def test_resp(spark, tmp_path):
     one, two = resp.encode("SET", "k", b"\r\n\x00"), resp.encode("DEL", 7)
     assert resp.parse(one) == ([b"SET", b"k", b"\r\n\x00"], len(one))

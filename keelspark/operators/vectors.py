@@ -76,6 +76,23 @@ def near_lists(rows: DataFrame, index: DataFrame, probes: int) -> DataFrame:
     return rows.crossJoin(F.broadcast(index)).withColumn("lists", F.transform(F.slice(F.array_sort(scored_), 1, probes), lambda s: s["id"])).drop("centres")
 
 
+def probes_for(corpus: DataFrame, queries: DataFrame, k: int, lists: int, target: float) -> int:
+    """How many lists have to be probed for a share of the true neighbours of some queries (a stated, bounded set, searched exactly).  Vectors
+    without clusters need most of them, and then an index saves little."""
+    index = centres(corpus, lists)
+    truth = top_k(corpus, queries, exact, k).select("q_id", "id")
+    home = near_lists(corpus, index, 1).select("id", F.col("lists")[0].alias("list"))
+    asked = near_lists(queries, index, lists).select(F.col("id").alias("q_id"), F.posexplode("lists").alias("place", "list"))
+    # a histogram of at most `lists` rows
+    places = truth.join(home, "id").join(F.broadcast(asked), ["q_id", "list"]).groupBy("place").agg(F.count("*").alias("n")).orderBy("place").collect()
+    total, upto = sum(r["n"] for r in places), 0
+    for r in places:
+        upto += r["n"]
+        if upto >= target * total:
+            return r["place"] + 1
+    return lists
+
+
 def approximate(corpus: DataFrame, queries: DataFrame, k: int, lists: int = 16, probes: int = 6) -> DataFrame:
     """q_id, id, score, rank: the best k among the rows whose list is one of the query's nearest.  Every row is in exactly one list; the queries, in
     blocks of at most MAX_QUERIES, are broadcast to them."""

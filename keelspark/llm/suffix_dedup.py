@@ -21,7 +21,8 @@ No group is hot: a chunk of texts sends each name once, whatever the number of c
 text, and a sorting task takes about PER_TASK names; both follow from the counted bytes alone, not from the number of partitions, and grow with
 the square root of a very large table, so that a block keeps a hundred names.  A Python worker's memory is bounded by a chunk or by its longest text.
 
-`op9` cuts 400-byte strings that start anywhere else.  `remove_repeats` cuts passages: runs of more than 50 words that another text holds too.
+`op9` cuts 400-byte strings that start anywhere else.  `remove_repeats` cuts passages: runs of more than 50 words that a different text holds too.
+Copies of a whole text are no passage of it: which of them stays is another stage's matter, and cutting would leave none.
 
 Defined results: null is the empty text; empty and short texts keep all bytes; every copy of a repeated string goes, as the contract
 says; rows with equal texts get equal values; a null doc_id is kept as it is; an empty table gives no rows.
@@ -171,7 +172,7 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 class Plan(NamedTuple):
-    """What counts as a repeated string, and how it is looked for.  words: units are words; apart: only strings that two texts hold count;
+    """What counts as a repeated string, and how it is looked for.  words: units are words; apart: only strings that two different texts hold count;
     chars: runs are widened to whole characters."""
 
     length: int = LENGTH
@@ -247,7 +248,7 @@ class Chunk:
             one[place] = own
             many = np.zeros(len(distinct), dtype=bool)
             many[place[own != one[place]]] = True
-        if self.many.any() and len(at):
+        elif self.many.any() and len(at):
             many[place[self.many[self._owner(at)]]] = True
         return distinct << np.uint64(1) | many.astype(np.uint64), place
 
@@ -416,7 +417,7 @@ def kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def op9(docs: DataFrame, plan: Plan = BYTES, passages: Plan = PASSAGES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document under `plan`; n_passages: its maximal runs of more than 50 words that
-    another document holds too."""
+    a document with another text holds too."""
     common.prepare(docs.sparkSession)
     texts = distinct_texts(docs, min(plan.length, 2 * passages.length - 1))
     runs = repeated_spans(texts, passages).select(F.hex("key").alias("key"), F.size("spans").cast("long").alias("n_passages"))

@@ -25,3 +25,8 @@ def compare(df: DataFrame, variants: dict[str, Column]) -> DataFrame:
     names = list(variants)
     sums = df.agg(F.count("*").alias("records"), *[F.sum(c).cast("double").alias(f"b{i}") for i, c in enumerate(variants.values())])
     return sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), F.col("records").alias("records"), F.round(F.col(f"b{i}") / F.col("records"), 4).alias("bytes"), F.round(F.col("b0") / F.col(f"b{i}"), 4).alias("ratio")) for i, n in enumerate(names)])).alias("r")).select("r.*")
+
+
+def with_caveats(told: DataFrame, caveats: dict[str, str]) -> DataFrame:
+    """told with caveat: what speaks against a variant, null where nothing does."""
+    return told.withColumn("caveat", F.try_element_at(F.create_map(*[F.lit(x) for kv in caveats.items() for x in kv]), F.col("variant")))

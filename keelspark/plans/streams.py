@@ -91,7 +91,7 @@ _NORMAL = lambda field, seed, by: f"sqrt(-2.0 * ln(greatest({_u(field + '/u', se
 
 @query("generate_embeddings", f"""WITH mix AS (SELECT id, t, CAST(floor({_u('topic', 5, "(id || '/' || t)")} * 8) AS BIGINT) AS b, pow({_u('weight', 5, "(id || '/' || t)")}, 2.2) * CASE WHEN {_u('sign', 5, "(id || '/' || t)")} < 0.5 THEN -1 ELSE 1 END AS w FROM {_ids(300)}, (SELECT unnest(range(0, 5)) AS t)),
 raw AS (SELECT id, k, {_NORMAL('noise', 5, "(id || '/' || k)")} * 0.009::DOUBLE + (SELECT sum(w * {_NORMAL('basis', 5, "(b || '/' || k)")}) FROM mix m WHERE m.id = i.id) AS x FROM {_ids(300)} i, (SELECT unnest(range(0, 32)) AS k))
-SELECT id, round(sum(x * (k + 1)) / sqrt(sum(x * x)), 3) AS mark, count(*) AS dim, 1.0 AS norm FROM raw GROUP BY id""")
+SELECT id, round(sum(x * (k + 1)) / sqrt(sum(x * x)), 3) AS mark, count(*) AS dim, 1.0::DOUBLE AS norm FROM raw GROUP BY id""")
 def generate_embeddings(spark, d):
     v = G.embeddings(spark, 300, dim=32, rank=8)
     mark = F.aggregate(F.transform("v", lambda x, k: x.cast("double") * (k + 1)), F.lit(0.0), lambda s, x: s + x)

@@ -174,10 +174,10 @@ def vector_normalize(spark, d):
     return rows.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
 
 
-@query("vector_f32_bytes", "SELECT vec_id, len(embedding) * 4 AS bytes, embedding AS decoded FROM embeddings")
+@query("vector_f32_bytes", "SELECT vec_id, len(embedding) * 4 AS bytes, array_to_string(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 100000000 + 0.5) AS BIGINT)), ',') AS decoded FROM embeddings")
 def vector_f32_bytes(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", "embedding").withColumn("b", codecs.encode_f32(F.col("embedding")))
-    return rows.select("vec_id", F.octet_length("b").cast("long").alias("bytes"), codecs.decode_f32(F.col("b")).alias("decoded"))
+    return rows.select("vec_id", F.octet_length("b").cast("long").alias("bytes"), F.array_join(F.transform(codecs.decode_f32(F.col("b")), lambda x: F.floor(x.cast("double") * 100_000_000 + 0.5)), ",").alias("decoded"))
 
 
 @query("vector_remove", "SELECT label, count(*) AS n FROM embeddings WHERE vec_id % 3 <> 0 GROUP BY label")

@@ -11,6 +11,7 @@ first `length` units, so the difference-cover algorithm is run with a large peri
 3. Merge the remaining suffixes: those that lead to a surviving sample within v units get the name of their prefix of the whole length, by the
    same distributed sort.
 4. Compare adjacent prefixes: an equal neighbour marks the string as repeated.
+5. Confirm: the marked strings alone are named once more by other polynomials and sorted again; only those that meet an equal again count.
 
 A third level of names is not needed because the depth is bounded.  Names are 62-bit fingerprints (two polynomials modulo 2^31 - 1, whose bases
 are drawn from the table's own content, so that no text can be written to collide), packed as sorted, difference-coded arrays, so a shuffled row
@@ -100,9 +101,9 @@ def _cover(q: int) -> tuple[int, np.ndarray]:
     return v, inside
 
 
-def bases_from(seed: int) -> tuple[int, int]:
-    """Two bases that follow from the content of a table."""
-    raw = hashlib.sha256(str(seed).encode()).digest()
+def bases_from(seed: int, turn: int = 0) -> tuple[int, int]:
+    """Two bases that follow from the content of a table, others for each turn."""
+    raw = hashlib.sha256(f"{seed}/{turn}".encode()).digest()
     return tuple((1 << 20) + int.from_bytes(raw[k : k + 8], "little") % (PRIME - (1 << 21)) for k in (0, 8))
 
 
@@ -183,6 +184,7 @@ class Plan(NamedTuple):
     per_task: int = PER_TASK
     chunk_bytes: int = CHUNK_BYTES
     bases: tuple[int, int] = BASES
+    again: tuple[int, int] = BASES[::-1]
 
 
 BYTES = Plan()
@@ -214,8 +216,8 @@ class Chunk:
     def _owner(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.stop, at, side="right")
 
-    def prints(self, width: int, at: np.ndarray) -> np.ndarray:
-        return fingerprints(self.values, width, at, self.plan.bases)
+    def prints(self, width: int, at: np.ndarray, again: bool = False) -> np.ndarray:
+        return fingerprints(self.values, width, at, self.plan.again if again else self.plan.bases)
 
     def samples(self) -> tuple[np.ndarray, np.ndarray]:
         """Sampled positions whose tuple lies inside their text, and the tuples' fingerprints."""
@@ -343,7 +345,7 @@ def repeated_spans(texts: DataFrame, plan: Plan = BYTES) -> DataFrame:
     # the product of a chunk's share and a task's share of all names must leave BLOCK_NAMES to a block
     grown = isqrt(BLOCK_NAMES * total)
     chunks = -(-total // max(plan.chunk_bytes, 2 * grown)) or 1
-    plan = plan._replace(bases=bases_from(seed or 0))
+    plan = plan._replace(bases=bases_from(seed or 0), again=bases_from(seed or 0, 1))
     period, inside = _cover(plan.q)
     units = total // 6 if plan.words else total
     held = texts.withColumn("chunk", F.pmod(F.xxhash64("text"), F.lit(chunks)))
@@ -366,14 +368,9 @@ def repeated_spans(texts: DataFrame, plan: Plan = BYTES) -> DataFrame:
     # merge the remaining suffixes: name their prefixes of the whole length
     prefix_buckets = tasks(units / 4)
 
-    def ask_prefixes(rows: pa.Table, told: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return pa.Table.from_pydict({n: [] for n in _ASK.names}, schema=_ASK)
-        c, chunk = _chunk(rows, plan), rows.column("chunk")[0].as_py()
-        at, prints = c.samples()
-        _, place = c.names(at, prints)
-        starts = c.candidates(at, _answers(told)[place])
-        names, _ = c.names(starts, c.prints(plan.length, starts))
+    def asked_of(c: Chunk, chunk: int, starts: np.ndarray, again: bool) -> pa.Table:
+        """The names of the strings at these starts for the sorting tasks, and the starts as runs, which pass along in a group of their own."""
+        names, _ = c.names(starts, c.prints(plan.length, starts, again))
         out = _deal(names, chunk, prefix_buckets)
         cut = np.flatnonzero(np.diff(starts) > 1) + 1
         runs = np.stack([starts[np.append(0, cut)], starts[np.append(cut - 1, len(starts) - 1)] + 1], 1).reshape(-1) if len(starts) else starts
@@ -381,31 +378,56 @@ def repeated_spans(texts: DataFrame, plan: Plan = BYTES) -> DataFrame:
             out[name] = [*out[name], value]
         return pa.Table.from_pydict(out, schema=_ASK)
 
+    def repeated(c: Chunk, told: pa.Table, again: bool) -> np.ndarray:
+        """The starts that were asked for and have an equal."""
+        own = [blob for b, blob in zip(told.column("bucket").to_pylist(), told.column("blob").to_pylist()) if b < 0]
+        edges = unpack(own[0]).astype(np.int64) if own else np.zeros(0, dtype=np.int64)
+        starts = _union(edges[::2], edges[1::2], c.n)
+        _, place = c.names(starts, c.prints(plan.length, starts, again))
+        return starts[_answers(told)[place]]
+
+    def none() -> pa.Table:
+        return pa.Table.from_pydict({n: [] for n in _ASK.names}, schema=_ASK)
+
+    def ask_prefixes(rows: pa.Table, told: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return none()
+        c = _chunk(rows, plan)
+        at, prints = c.samples()
+        _, place = c.names(at, prints)
+        return asked_of(c, rows.column("chunk")[0].as_py(), c.candidates(at, _answers(told)[place]), False)
+
+    def ask_again(rows: pa.Table, told: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return none()
+        c = _chunk(rows, plan)
+        return asked_of(c, rows.column("chunk")[0].as_py(), repeated(c, told, False), True)
+
     def cogrouped(other: DataFrame, fn, ddl: str) -> DataFrame:
         return held.groupBy("chunk").cogroup(other.groupBy("chunk")).applyInArrow(fn, ddl)
 
-    # compare adjacent prefixes; the runs of candidates pass along, each chunk's in a group of its own
-    verdict = common.staged(cogrouped(alive, ask_prefixes, _ASK_DDL).groupBy("bucket").applyInArrow(_sort_names, _ASK_DDL), "suffix-verdict")
+    def sorted_names(asked: DataFrame, label: str) -> DataFrame:
+        return common.staged(asked.groupBy("bucket").applyInArrow(_sort_names, _ASK_DDL), label)
+
+    # compare adjacent prefixes, then confirm what has an equal
+    verdict = sorted_names(cogrouped(alive, ask_prefixes, _ASK_DDL), "suffix-verdict")
     common.discard(alive)
+    sure = sorted_names(cogrouped(verdict, ask_again, _ASK_DDL), "suffix-sure")
+    common.discard(verdict)
 
     def settle(rows: pa.Table, told: pa.Table) -> pa.Table:
         out: dict[str, list] = {n: [] for n in _SPANS.names}
         if rows.num_rows:
             c = _chunk(rows, plan)
-            buckets = told.column("bucket").to_pylist()
-            own = [blob for b, blob in zip(buckets, told.column("blob").to_pylist()) if b < 0]
-            edges = unpack(own[0]).astype(np.int64) if own else np.zeros(0, dtype=np.int64)
-            starts = _union(edges[::2], edges[1::2], c.n)
-            _, place = c.names(starts, c.prints(plan.length, starts))
-            for i, spans in c.covered(starts[_answers(told)[place]]):
+            for i, spans in c.covered(repeated(c, told, True)):
                 out["key"].append(hashlib.sha256(c.texts[i]).digest())
                 out["n_removed"].append(sum(b - a for a, b in spans))
                 out["spans"].append([{"start": a, "stop": b} for a, b in spans])
                 out["kept_sha256"].append(hashlib.sha256(kept(c.texts[i], spans)).hexdigest())
         return pa.Table.from_pydict(out, schema=_SPANS)
 
-    spans = common.staged(cogrouped(verdict, settle, _SPANS_DDL), "suffix-spans")
-    common.discard(verdict)
+    spans = common.staged(cogrouped(sure, settle, _SPANS_DDL), "suffix-spans")
+    common.discard(sure)
     return spans
 
 

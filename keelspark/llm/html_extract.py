@@ -25,7 +25,9 @@ import re
 import sys
 from bisect import bisect_left
 from collections import Counter
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,8 +38,6 @@ from . import common
 SAMPLES, SAMPLE_BYTES, BROADCAST_BYTES = 6, 65_536, 8 << 20
 #: share of the other sampled pages that must repeat a block's text for it to be template
 CONSTANT = 0.8
-#: child lists whose lengths multiply to more are cut at children of equal text before they are compared
-CELLS = 40_000
 SALTS = 16
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
@@ -200,92 +200,220 @@ def owned(root: Node) -> dict[int, list[str]]:
     return out
 
 
+#: the score of one matched pair of elements, in units of one equal text
+_PAIR = 1 << 32
+
+
 def align(a: Node, b: Node, texts: tuple[dict, dict] | None = None) -> tuple[int, list[tuple[Node, Node]]]:
     """Simple tree matching: the size of the largest order-keeping match of two trees, and its pairs.  Equal texts (texts: as owned() tells them) count a
-    little more, so that of equally large matches the one with equal texts is taken."""
-    x, y = texts or (owned(a), owned(b))
+    little more, so that of equally large matches the one with most equal texts is taken.  Exact for trees of any size."""
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
-    score, pairs = _match(a, b, x, y, {})
-    return round(score), pairs
-
-
-def _match(a: Node, b: Node, x: dict, y: dict, memo: dict) -> tuple[float, list[tuple[Node, Node]]]:
-    if a.sign != b.sign:
-        return 0, []
-    key = id(a), id(b)
-    if key not in memo:
-        mine, yours = x.get(key[0]), y.get(key[1])
-        score, pairs = 1 + (1e-6 if mine and mine == yours else 0), [(a, b)]
-        for left, right in _gaps(elements(a), elements(b), x, y):
-            more, inner = _level(left, right, x, y, memo)
-            score += more
-            pairs += inner
-        memo[key] = score, pairs
-    return memo[key]
-
-
-def _level(left: list[Node], right: list[Node], x: dict, y: dict, memo: dict) -> tuple[float, list[tuple[Node, Node]]]:
-    """The best order-keeping match of two child lists."""
-    if len(left) * len(right) > CELLS:
-        # no equal texts to cut at: children of one sign in their order
-        found = [_match(a, b, x, y, memo) for a, b in _in_order(left, right)]
-        return sum(s for s, _ in found), [p for _, ps in found for p in ps]
-    n, m = len(left), len(right)
-    best = [[0.0] * (m + 1) for _ in range(n + 1)]
+    shapes, numbers = Shapes(), {}
+    sides = texts or (owned(a), owned(b))
+    told = [{(n.sign, tuple(own[id(n)])) for n in _nodes(root) if id(n) in own} for root, own in zip((a, b), sides)]
+    known = {t: i for i, t in enumerate(told[0] & told[1])}
+    for root, own in zip((a, b), sides):
+        for n in reversed(_nodes(root)):
+            numbers[id(n)] = shapes.number(n.sign, known.get((n.sign, tuple(own.get(id(n), ())))), tuple(numbers[id(k)] for k in elements(n)))
+    score = shapes.score(numbers[id(a)], numbers[id(b)])
+    pairs, todo = [], [(a, b)] if score else []
+    while todo:
+        x, y = todo.pop()
+        pairs.append((x, y))
+        left, right = elements(x), elements(y)
+        inner = shapes.match([numbers[id(k)] for k in left], [numbers[id(k)] for k in right])[1]
+        todo += [(left[i], right[j]) for i, j in reversed(inner)]
+    return score // _PAIR, pairs
+
+
+def _nodes(root: Node) -> list[Node]:
+    """The elements of a tree, parents first."""
+    out, todo = [], [root]
+    while todo:
+        out.append(todo.pop())
+        todo += elements(out[-1])
+    return out
+
+
+class Shapes:
+    """The best order-keeping matches of subtrees, by number: subtrees of equal signs and equal texts have one.  A text that the other tree does not
+    have at such an element makes no difference to any match and is left out, so that long lists have few numbers."""
+
+    def __init__(self):
+        self.known: dict[tuple, int] = {}
+        self.rows: list[tuple] = []
+        self.whole: list[int] = []
+        self.scores: dict[tuple[int, int], int] = {}
+        self.matches: dict[tuple, tuple] = {}
+
+    def number(self, sign: str, text: int | None, kids: tuple[int, ...]) -> int:
+        got = self.known.setdefault((sign, text, kids), len(self.rows))
+        if got == len(self.rows):
+            self.rows.append((sign, text, kids))
+            # what it scores against itself, the most it can score
+            self.whole.append(_PAIR + (text is not None) + sum(self.whole[k] for k in kids))
+        return got
+
+    def score(self, a: int, b: int) -> int:
+        if a == b:
+            return self.whole[a]
+        if (a, b) not in self.scores:
+            (sign, text, kids), (other, theirs, others) = self.rows[a], self.rows[b]
+            self.scores[a, b] = 0 if sign != other else _PAIR + (text is not None and text == theirs) + (self.match(kids, others)[0] if kids and others else 0)
+        return self.scores[a, b]
+
+    def texts(self, a: int) -> set[int]:
+        out, seen, todo = set(), {a}, [a]
+        while todo:
+            _, text, kids = self.rows[todo.pop()]
+            out.add(text)
+            todo += set(kids) - seen
+            seen.update(kids)
+        return out - {None}
+
+    def bare(self, a: int, keep: frozenset[int], memo: dict[int, int]) -> int:
+        """The subtree without the texts that are not in keep."""
+        if a not in memo:
+            sign, text, kids = self.rows[a]
+            memo[a] = self.number(sign, text if text in keep else None, tuple([self.bare(k, keep, memo) for k in kids]))
+        return memo[a]
+
+    def match(self, left, right) -> tuple[int, list[tuple[int, int]]]:
+        """The best order-keeping match of two child lists: its score and the places of its pairs."""
+        key = tuple(left), tuple(right)
+        if key not in self.matches:
+            left, right = key
+            # equal children at both ends can always be matched with each other, for nothing scores more than a subtree against itself
+            n = m = 0
+            short = min(len(left), len(right))
+            while n < short and left[n] == right[n]:
+                n += 1
+            while m < short - n and left[-1 - m] == right[-1 - m]:
+                m += 1
+            score, pairs = self._middle(left[n : len(left) - m], right[n : len(right) - m])
+            ends = [(i, i) for i in range(n)], [(len(left) - i, len(right) - i) for i in range(m, 0, -1)]
+            score += sum(self.whole[left[i]] for e in ends for i, _ in e)
+            self.matches[key] = score, [*ends[0], *((n + i, n + j) for i, j in pairs), *ends[1]]
+        return self.matches[key]
+
+    def _middle(self, left: tuple[int, ...], right: tuple[int, ...], turned: bool = False) -> tuple[int, list[tuple[int, int]]]:
+        """turned: left and right have changed places, for the shorter list to be the rows."""
+        n, m = len(left), len(right)
+        if not n or not m:
+            return 0, []
+        if n == 1 or m == 1:
+            got = [self.score(a, b) for a in left for b in right]
+            at = got.index(max(got))
+            return (got[at], [(0, at) if n == 1 else (at, 0)]) if got[at] else (0, [])
+        if n > m:
+            score, pairs = self._middle(right, left, not turned)
+            return score, [(i, j) for j, i in pairs]
+        gain = self._gains(left, right)
+        mine, yours = [self.whole[k] for k in left], [self.whole[k] for k in right]
+        all_mine, all_yours, low, high = sum(mine), sum(yours), min(mine), min(yours)
+        wide = 16
+        while True:
+            # a band about the diagonal; a match that leaves it skips so many children on both sides that its score has a bound
+            under, over = wide + max(0, n - m), wide + max(0, m - n)
+            got = _banded(n, m, under, over, gain)
+            bound = max(min(all_mine - (over + 1 - m + n) * low, all_yours - (over + 1) * high), min(all_mine - (under + 1) * low, all_yours - (under + 1 - n + m) * high))
+            if got[0] > bound or under >= n and over >= m:
+                return got[0], _pairs(n, m, under, over, gain, got[1], turned)
+            wide *= 4
+
+    def _gains(self, left: tuple[int, ...], right: tuple[int, ...]):
+        """A function from a place on the left to its scores against a run of places on the right.  Texts that few pairs of children share are looked at for
+        those pairs alone: to all others they make no difference."""
+        us, vs = list(dict.fromkeys(left)), list(dict.fromkeys(right))
+        held = [{u: self.texts(u) for u in us}, {v: self.texts(v) for v in vs}]
+        at: list[dict[int, list[int]]] = [{}, {}]
+        for side, place in zip(held, at):
+            for u, some in side.items():
+                for t in some:
+                    place.setdefault(t, []).append(u)
+        times = Counter(left), Counter(right)
+        both = {t: sum(times[0][u] for u in at[0][t]) * sum(times[1][v] for v in at[1][t]) for t in at[0] if t in at[1]}
+        often = frozenset(t for t, n in both.items() if n > len(left) + len(right))
+        special: dict[int, set[int]] = {}
+        for t in both:
+            if t not in often:
+                for u in at[0][t]:
+                    special.setdefault(u, set()).update(at[1][t])
+        memo: dict[int, int] = {}
+        plain = {u: self.bare(u, often, memo) for u in [*us, *vs]}
+        kinds = list(dict.fromkeys(plain[v] for v in vs))
+        kind = {v: i for i, v in enumerate(kinds)}
+        column = np.array([kind[plain[v]] for v in right])
+        places: dict[int, list[int]] = {}
+        for j, v in enumerate(right):
+            places.setdefault(v, []).append(j)
+        table = {u: np.array([self.score(u, k) for k in kinds], dtype=np.int64) for u in {plain[u] for u in us}}
+
+        def row(i: int, a: int, b: int) -> np.ndarray:
+            out = table[plain[left[i]]][column[a:b]]
+            for v in special.get(left[i], ()):
+                some = places[v]
+                for j in some[bisect_left(some, a) : bisect_left(some, b)]:
+                    out[j - a] = self.score(left[i], v)
+            return out
+
+        return row
+
+
+def _strip(i: int, m: int, under: int, over: int) -> tuple[int, int]:
+    return max(1, i - under), min(m, i + over)
+
+
+def _step(best: np.ndarray, i: int, m: int, under: int, over: int, gain) -> np.ndarray:
+    """The next row of the table of best scores, in place; returns its part within the band."""
+    a, b = _strip(i, m, under, over)
+    if a <= b:
+        row = np.maximum(best[a - 1 : b] + gain(i - 1, a - 1, b), best[a : b + 1])
+        row[0] = max(row[0], best[a - 1])
+        np.maximum.accumulate(row, out=best[a : b + 1])
+    return best[a - 1 : b + 1]
+
+
+def _banded(n: int, m: int, under: int, over: int, gain) -> tuple[int, list[np.ndarray]]:
+    """The best score of a match within the band, and every so many rows of the table."""
+    best, kept, every = np.zeros(m + 1, dtype=np.int64), [], isqrt(n) + 1
     for i in range(1, n + 1):
-        row, above, a = best[i], best[i - 1], left[i - 1]
-        for j in range(1, m + 1):
-            got = _match(a, right[j - 1], x, y, memo)[0] if a.sign == right[j - 1].sign else 0
-            row[j] = max(above[j], row[j - 1], above[j - 1] + got if got else 0)
-    pairs, i, j = [], n, m
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs = _match(left[i], right[j], x, y, memo)[1] + pairs
-    return best[n][m], pairs
-
-
-def _in_order(left: list[Node], right: list[Node]):
-    at: dict[str, list[int]] = {}
-    for j, k in enumerate(right):
-        at.setdefault(k.sign, []).append(j)
-    last = -1
-    for a in left:
-        places = at.get(a.sign, [])
-        k = bisect_left(places, last + 1)
-        if k < len(places):
-            last = places[k]
-            yield a, right[last]
-
-
-def _gaps(left: list[Node], right: list[Node], x: dict, y: dict):
-    """The two lists as runs to be compared.  Long lists are cut at children whose sign and text stand once in each, the longest rising row of them."""
-    if len(left) * len(right) <= CELLS:
-        yield left, right
-        return
-    marks = [[(k.sign, tuple(t.get(id(k), ()))) for k in side] for side, t in ((left, x), (right, y))]
-    once = [{m: i for i, m in enumerate(side) if count[m] == 1 and m[1]} for side in marks for count in [Counter(side)]]
-    common_ = [(i, once[1][m]) for m, i in once[0].items() if m in once[1]]
-    # patience: the longest rising row of right-hand places
-    tops, back, ends = [], [], []
-    for n, (_, j) in enumerate(common_):
-        k = bisect_left(tops, j)
-        back.append(ends[k - 1] if k else -1)
-        tops[k : k + 1], ends[k : k + 1] = [j], [n]
-    row, n = [], ends[-1] if ends else -1
-    while n >= 0:
-        row.append(common_[n])
-        n = back[n]
-    i = j = 0
-    for a, b in [*reversed(row), (len(left), len(right))]:
-        yield left[i:a], right[j:b]
-        if a < len(left):
-            yield left[a : a + 1], right[b : b + 1]
-        i, j = a + 1, b + 1
+        if (i - 1) % every == 0:
+            a, b = _strip(i, m, under, over)
+            kept.append(best[a - 1 : b + 1].copy())
+        _step(best, i, m, under, over, gain)
+    return int(best[m]), kept
+
+
+def _pairs(n: int, m: int, under: int, over: int, gain, kept: list[np.ndarray], turned: bool) -> list[tuple[int, int]]:
+    """The pairs of the best match, from its end; the rows between those kept are made again."""
+    out, i, j, every = [], n, m, isqrt(n) + 1
+    for block in range(len(kept) - 1, -1, -1):
+        first = block * every
+        if not i or not j or i <= first:
+            continue
+        a, b = _strip(first + 1, m, under, over)
+        best = np.zeros(m + 1, dtype=np.int64)
+        best[a - 1 : b + 1] = kept[block]
+        rows = [(a - 1, kept[block])] + [(_strip(r, m, under, over)[0] - 1, _step(best, r, m, under, over, gain).copy()) for r in range(first + 1, i + 1)]
+
+        def at(i: int, j: int) -> int:
+            start, row = rows[i - first]
+            return row[j - start] if 0 <= j - start < len(row) else -1 if j else 0
+
+        while i > first and j:
+            score = at(i, j)
+            if not score:
+                return out[::-1]
+            up, back = score == at(i - 1, j), score == at(i, j - 1)
+            if up and not (turned and back):
+                i -= 1
+            elif back:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+    return out[::-1]
 
 
 def region(root: Node, weight: dict[int, float] | None = None) -> tuple[str, ...]:

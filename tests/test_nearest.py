@@ -77,3 +77,7 @@ def pairless(spark, copies, name):
 
 def test_recall_ann(spark, copies):
     pairless(spark, copies, "recall_ann")
+
+
+def test_vector_rerank(spark, copies):
+    pairless(spark, copies, "vector_rerank")

@@ -81,3 +81,7 @@ def test_recall_ann(spark, copies):
 
 def test_vector_rerank(spark, copies):
     pairless(spark, copies, "vector_rerank")
+
+
+def test_recall_int8(spark, copies):
+    pairless(spark, copies, "recall_int8")

@@ -85,3 +85,7 @@ def test_vector_rerank(spark, copies):
 
 def test_recall_int8(spark, copies):
     pairless(spark, copies, "recall_int8")
+
+
+def test_corpus_similarity(spark, copies):
+    pairless(spark, copies, "corpus_similarity")

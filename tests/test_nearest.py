@@ -89,3 +89,7 @@ def test_recall_int8(spark, copies):
 
 def test_corpus_similarity(spark, copies):
     pairless(spark, copies, "corpus_similarity")
+
+
+def test_vector_ann(spark, copies):
+    pairless(spark, copies, "vector_ann")

@@ -93,3 +93,7 @@ def test_corpus_similarity(spark, copies):
 
 def test_vector_ann(spark, copies):
     pairless(spark, copies, "vector_ann")
+
+
+def test_semantic_cache_lookup(spark, copies):
+    pairless(spark, copies, "semantic_cache_lookup")

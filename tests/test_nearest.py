@@ -97,3 +97,7 @@ def test_vector_ann(spark, copies):
 
 def test_semantic_cache_lookup(spark, copies):
     pairless(spark, copies, "semantic_cache_lookup")
+
+
+def test_relative_contrast(spark, copies):
+    pairless(spark, copies, "relative_contrast")

@@ -101,3 +101,7 @@ def test_semantic_cache_lookup(spark, copies):
 
 def test_relative_contrast(spark, copies):
     pairless(spark, copies, "relative_contrast")
+
+
+def test_recall_binary(spark, copies):
+    pairless(spark, copies, "recall_binary")

@@ -105,3 +105,7 @@ def test_relative_contrast(spark, copies):
 
 def test_recall_binary(spark, copies):
     pairless(spark, copies, "recall_binary")
+
+
+def test_vector_topk_exact(spark, copies):
+    pairless(spark, copies, "vector_topk_exact")

@@ -48,6 +48,18 @@ def test_small_tiles_and_blocks_give_the_same(spark, monkeypatch):
     assert [told(search.top_k(df, df, *SEARCHES[n][:1], 7, SEARCHES[n][1])) for n in SEARCHES] == whole
 
 
+def test_copies_made_for_blocks_are_deleted(spark, monkeypatch):
+    from pathlib import Path
+
+    from keelspark.sources.shared import shared_root
+
+    monkeypatch.setattr(search, "MAX_QUERIES", 40)
+    df = search.prepared(odd(spark))
+    assert search.top_k(df, df, search.exact, 3).count()
+    folder = Path(shared_root(spark).removeprefix("file://")) / "keelspark"
+    assert list(folder.glob("nearest-*")) and not list(folder.glob("corpus-*")) and not list(folder.glob("queries-*"))
+
+
 def test_sign_codes_beyond_64_dimensions(spark):
     rows = [(i, [1.0 if (i >> (j % 5)) & 1 and j > 63 else -1.0 for j in range(70)]) for i in range(32)]
     df = search.prepared(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
